@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import sharding
+from sylva.llm import packing, sharding, simhash
 from sylva.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file; the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_shard_tree,)}
+    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op9_pack_sum_of_squares)}
 
 
 def oracle_sql() -> dict[str, str]:
