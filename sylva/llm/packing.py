@@ -10,8 +10,10 @@ Each task packs the rows of its own split, so nothing is shuffled and a lost tas
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,37 +27,88 @@ SCHEMA = (
 )
 
 
+#: Parts of which a chunk's words are known beforehand: Latin letters, ASCII punctuation but apostrophes, single digits.
+SIMPLE_PARTS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|[0-9]"
+
+
 class WordCachedTokenizer:
-    """Exact ids of a ``tokenizers`` file whose words never span a space or line feed, with a bounded word cache.
+    """Exact ids of a ``tokenizers`` file whose words never span a space or line feed, with bounded caches.
 
-    Texts are cut at spaces and line feeds; each new word is encoded once by the library. A cache beyond ``limit`` words
-    becomes the old generation, of which only words seen again live on. A special token's string could span such a cut,
-    so a text that holds one goes to the library whole.
+    Texts are cut into chunks at spaces and line feeds. A new chunk made of simple parts is put together from its parts;
+    new parts are encoded by the library in one text and told apart by their last tokens. Any other new chunk is encoded
+    by the library alone. A cache beyond ``limit`` entries becomes the old generation, of which only what is seen again
+    lives on. A special token's string could span a cut, so a text that holds one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.is_simple = re.compile(f"(?:{SIMPLE_PARTS})+").fullmatch
+        self.cut = re.compile(SIMPLE_PARTS).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, parts: list[str]) -> None:
+        """Put simple parts into the cache of parts."""
+        if len(self.parts) > 2 * self.limit:
+            self.parts = {}
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(parts):
+            raise ValueError("the tokenizer file does not mark the ends of words")
+        raw, start = ids.tobytes(), 0
+        for part, stop in zip(parts, stops, strict=True):
+            self.parts[part] = raw[start:stop]
+            start = stop
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
+            return self.whole(text).tobytes()
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # within Latin-1 as the library does; fewer chunks to keep
+        except UnicodeEncodeError:
+            pass
+        chunks = text.replace("\n", " ").split(" ")
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
-        new = [w for w in set(words) if w not in cache]
+        new = set(chunks).difference(cache)
         if new:
-            cache.update((w, old[w]) for w in new if w in old)
-            new = [w for w in new if w not in cache]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+            simple: dict[str, list[str]] = {}
+            for chunk in new:
+                if (found := old.get(chunk)) is not None:
+                    cache[chunk] = found
+                elif self.is_simple(chunk):
+                    simple[chunk] = self.cut(chunk.lower())
+                else:
+                    cache[chunk] = self.whole(chunk).tobytes()
+            if simple:
+                missing = {p for parts in simple.values() for p in parts}.difference(self.parts)
+                if missing:
+                    self.learn(list(missing))
+                    if not all(p in self.parts for parts in simple.values() for p in parts):
+                        self.learn(list({p for parts in simple.values() for p in parts}))
+                known = self.parts
+                for chunk, parts in simple.items():
+                    cache[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        return b"".join([cache[c] for c in chunks])
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordCachedTokenizer:
+    """One tokenizer for all tasks of a worker process, with what its cache holds."""
+    return WordCachedTokenizer(path)
 
 
 class SumOfSquares:
@@ -138,7 +191,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordCachedTokenizer(tokenizer_path), SumOfSquares(window)
+        encoder, packer = word_tokenizer(tokenizer_path), SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
         rest: dict[int, tuple] = {}  # of a document whose rest is still open: doc_id, tokens, start and ids of the rest
