@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import packing, pieces, sharding, simhash
+from sylva.llm import packing, pieces, sharding, simhash, toxicity
 from sylva.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -34,7 +38,7 @@ def op9_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op6_piece_prefix_table, op9_pack_sum_of_squares)}
+    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op9_pack_sum_of_squares)}
 
 
 def oracle_sql() -> dict[str, str]:
