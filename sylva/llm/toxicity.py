@@ -29,12 +29,16 @@ class Settings:
     max_rows: int = 20_000  # labelled rows of the fit, chosen by a hash of doc_id
     max_terms: int = 4_096  # screened terms, the largest chi-squares
     min_docs: int = 5  # labelled rows that a screened term occurs in
-    min_chi2: float = 20.0
+    min_chi2: float = 25.0
     factors: int = 8
-    epochs: int = 40
-    batch: int = 512
-    rate: float = 0.05
-    decay: float = 1e-4
+    linear_epochs: int = 60  # weights alone, so that a telling term counts by itself
+    epochs: int = 10  # then weights and factors
+    keep: float = 0.4  # of a row's terms per step, drawn anew, so that few of many telling terms are enough
+    batch: int = 256
+    rate: float = 0.1
+    factor_rate: float = 0.005
+    decay: float = 1e-5
+    factor_decay: float = 1e-3
     seed: int = 7
 
 
@@ -90,12 +94,15 @@ def train(rows: list[tuple[int, list[int]]], size: int, s: Settings) -> tuple[fl
         return float(p[0][0]), p[1], p[2]
     first, second, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
     flat = [np.array(r[1], dtype=np.int64) for r in rows]
-    for _ in range(s.epochs):
+    for epoch in range(s.linear_epochs + s.epochs):
+        moved = 3 if epoch >= s.linear_epochs else 2
         order = rng.permutation(len(rows))
         for k in range(0, len(order), s.batch):
             own = order[k : k + s.batch]
             at = np.concatenate([flat[i] for i in own])
             doc = np.repeat(np.arange(len(own)), [len(flat[i]) for i in own])
+            stays = rng.random(len(at)) < s.keep
+            at, doc = at[stays], doc[stays]
             v = p[2][at]
             sums = np.stack([np.bincount(doc, v[:, f], len(own)) for f in range(s.factors)], axis=1)
             pairs = 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), len(own)))
@@ -105,13 +112,14 @@ def train(rows: list[tuple[int, list[int]]], size: int, s: Settings) -> tuple[fl
             grads = [
                 np.array([g.sum()]),
                 np.bincount(at, g[doc], size) + s.decay * p[1],
-                np.stack([np.bincount(at, gv[:, f], size) for f in range(s.factors)], axis=1) + s.decay * p[2],
+                np.stack([np.bincount(at, gv[:, f], size) for f in range(s.factors)], axis=1) + s.factor_decay * p[2],
             ]
             step += 1
-            for x, d, m, u in zip(p, grads, first, second, strict=True):
+            rates = (s.rate, s.rate, s.factor_rate)
+            for x, d, m, u, rate in list(zip(p, grads, first, second, rates, strict=True))[:moved]:
                 m += 0.1 * (d - m)
                 u += 0.001 * (d * d - u)
-                x -= s.rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-8)
+                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.999**step)) + 1e-8)
     return float(p[0][0]), p[1], p[2]
 
 
