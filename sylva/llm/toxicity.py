@@ -28,15 +28,15 @@ THRESHOLD = 0.7
 class Settings:
     max_rows: int = 20_000  # labelled rows of the fit, chosen by a hash of doc_id
     max_terms: int = 4_096  # screened terms, the largest chi-squares
-    min_docs: int = 5  # labelled rows that a screened term occurs in
-    min_chi2: float = 25.0
+    min_docs: int = 8  # labelled rows that a screened term occurs in
+    min_chi2: float = 40.0
     factors: int = 8
     linear_epochs: int = 60  # weights alone, so that a telling term counts by itself
-    epochs: int = 10  # then weights and factors
-    keep: float = 0.4  # of a row's terms per step, drawn anew, so that few of many telling terms are enough
+    epochs: int = 20  # then weights and factors, on whole rows
+    keep: float = 0.4  # of a row's terms per step while weights are learned alone: few of many telling terms must do
     batch: int = 256
     rate: float = 0.1
-    factor_rate: float = 0.005
+    factor_rate: float = 0.01
     decay: float = 1e-5
     factor_decay: float = 1e-3
     seed: int = 7
@@ -101,8 +101,9 @@ def train(rows: list[tuple[int, list[int]]], size: int, s: Settings) -> tuple[fl
             own = order[k : k + s.batch]
             at = np.concatenate([flat[i] for i in own])
             doc = np.repeat(np.arange(len(own)), [len(flat[i]) for i in own])
-            stays = rng.random(len(at)) < s.keep
-            at, doc = at[stays], doc[stays]
+            if epoch < s.linear_epochs:
+                stays = rng.random(len(at)) < s.keep
+                at, doc = at[stays], doc[stays]
             v = p[2][at]
             sums = np.stack([np.bincount(doc, v[:, f], len(own)) for f in range(s.factors)], axis=1)
             pairs = 0.5 * ((sums**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), len(own)))
@@ -115,7 +116,8 @@ def train(rows: list[tuple[int, list[int]]], size: int, s: Settings) -> tuple[fl
                 np.stack([np.bincount(at, gv[:, f], size) for f in range(s.factors)], axis=1) + s.factor_decay * p[2],
             ]
             step += 1
-            rates = (s.rate, s.rate, s.factor_rate)
+            pace = s.rate if epoch < s.linear_epochs else s.factor_rate
+            rates = (pace, pace, s.factor_rate)
             for x, d, m, u, rate in list(zip(p, grads, first, second, rates, strict=True))[:moved]:
                 m += 0.1 * (d - m)
                 u += 0.001 * (d * d - u)
