@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import packing, pieces, sharding, simhash, toxicity
+from sylva.llm import packing, pieces, sharding, simhash, toxicity, warc
 from sylva.llm.common import table
 
 
@@ -37,8 +37,12 @@ def op9_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op9_pack_sum_of_squares)}
+    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op9_pack_sum_of_squares, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
