@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import packing, pieces, sharding, simhash, toxicity, warc
+from sylva.llm import linededup, packing, pieces, sharding, simhash, toxicity, warc
 from sylva.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -42,8 +46,8 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op9_pack_sum_of_squares, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op8_line_edit_join, op9_pack_sum_of_squares, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_edit_join": linededup.ORACLE_SQL}
