@@ -147,9 +147,10 @@ def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
     parts = connected_components(links)
     joined = distinct.join(parts, distinct["h1"] == parts["node"]).select("h1", "h2", "first", "component")
     merged = joined.join(joined.groupBy("component").agg(F.min("first").alias("head")), "component").select("h1", "h2", "head")
-    heads = distinct.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select(
+    # Stored, so that both sides of the last join come straight from exchanges and AQE can split a common line.
+    heads = stored(distinct.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select(
         "h1", "h2", F.coalesce("head", "first").alias("head")
-    )
+    ), "line-heads")
     return marked.select("doc_id", "line_no", "h1", "h2").join(heads, ["h1", "h2"]).select(
         "doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),
         (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))).alias("kept"),
