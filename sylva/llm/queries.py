@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import ann, linededup, packing, pieces, sharding, simhash, toxicity, warc
+from sylva.llm import ann, hamming, linededup, packing, pieces, sharding, simhash, toxicity, urlfilter, warc
 from sylva.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages))
+
+
 def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,10 @@ def op6_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(table(spark, sf_dir, "documents"))
 
@@ -50,8 +59,12 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pruned_graph, op2_simhash, op3_shard_tree, op5_factorization_machine, op6_piece_prefix_table, op8_line_edit_join, op9_pack_sum_of_squares, op10_warc_round_trip)}
+    return {f.__name__: f for f in (op1_pruned_graph, op2_simhash, op3_shard_tree, op4_temporal_list, op5_factorization_machine, op6_piece_prefix_table, op7_multi_index_hashing, op8_line_edit_join, op9_pack_sum_of_squares, op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_edit_join": linededup.ORACLE_SQL}
+    return {
+        "op4_temporal_list": urlfilter.ORACLE_SQL,
+        "op7_multi_index_hashing": hamming.ORACLE_SQL,
+        "op8_line_edit_join": linededup.ORACLE_SQL,
+    }
