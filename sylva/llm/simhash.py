@@ -175,7 +175,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the id of its component: one document of each group of near copies.
 
-    Rows without a doc_id stay only where their whole component has none. Columns are those of ``documents``.
+    Of rows that are equal in all columns one stays. Rows without a doc_id cannot be named by a component and stay.
     """
-    rows = near_duplicates(documents).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return documents.join(rows, documents["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    keep = near_duplicates(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    # Both steps need rows dealt by doc_id only, so the second one moves nothing.
+    named = documents.join(keep, documents["doc_id"] == keep["__keep"]).drop("__keep").dropDuplicates()
+    return named.union(documents.where(F.col("doc_id").isNull()))
