@@ -9,7 +9,6 @@ the answer is exact. Equal codes are one index row, with the k + 1 smallest ids
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +42,25 @@ def _values(code: Column, widths: list[int]) -> list[Column]:
     return out
 
 
+def _probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """(query_id, query, bound, segment, value) for every value that differs from a query's segment in ``radius`` bits.
+
+    The bits to flip are drawn one after the other in rising order, so no table of masks is sent around.
+    """
+    segments = F.array(*[
+        F.struct(F.lit(s).alias("segment"), F.lit(w).alias("width"), v.alias("value"))
+        for s, (w, v) in enumerate(zip(widths, _values(F.col("query"), widths), strict=True)) if radius <= w
+    ])
+    rows = active.select("query_id", "query", "bound", F.explode(segments).alias("s"), F.lit(-1).alias("bit")).select(
+        "query_id", "query", "bound", "s.*", "bit"
+    )
+    for left in range(radius - 1, -1, -1):
+        rows = rows.withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.col("width") - (left + 1)))).withColumn(
+            "value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+        )
+    return rows.select("query_id", "query", "bound", "segment", "value")
+
+
 def search(codes: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """The ``top`` nearest of each query among ``codes(vec_id, code)``: query_id, rank from 1, vec_id, distance.
 
@@ -65,17 +83,7 @@ def search(codes: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFram
     finished = best
     nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     for radius in range(max(widths) + 1):
-        masks = [
-            F.struct(F.lit(s).alias("segment"), F.array(*[F.lit(sum(1 << b for b in c)).cast("long") for c in combinations(range(w), radius)]).alias("masks"))
-            for s, w in enumerate(widths) if radius <= w
-        ]
-        own = F.array(*_values(F.col("query"), widths))
-        probes = (
-            active.select("query_id", "query", "bound", own.alias("own"), F.explode(F.array(*masks)).alias("m"))
-            .select("query_id", "query", "bound", F.col("m.segment").alias("segment"),
-                    F.get("own", F.col("m.segment")).alias("base"), F.explode("m.masks").alias("mask"))
-            .select("query_id", "query", "bound", "segment", F.col("base").bitwiseXOR(F.col("mask")).alias("value"))
-        )
+        probes = _probes(active, widths, radius)
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
         met = probes.join(index, ["segment", "value"]).where(distance <= F.col("bound"))
         found = met.select("query_id", "code", distance.alias("distance")).distinct()
