@@ -40,7 +40,7 @@ class WordCachedTokenizer:
     lives on. A special token's string could span a cut, so a text that holds one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 160_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit

@@ -67,7 +67,7 @@ class Machine:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str | None) -> float:
-        if len(self.words) > 400_000:
+        if len(self.words) > 200_000:
             self.words = {}
         known, present = self.words, set()
         for w in set(WORD.findall((text or "").lower())):
