@@ -85,9 +85,10 @@ def search(codes: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFram
     for radius in range(max(widths) + 1):
         probes = _probes(active, widths, radius)
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        met = probes.join(index, ["segment", "value"]).where(distance <= F.col("bound"))
+        # The planner takes the probes for as small as the queries that they come from, and would broadcast them.
+        met = probes.join(index.hint("merge"), ["segment", "value"]).where(distance <= F.col("bound"))
         found = met.select("query_id", "code", distance.alias("distance")).distinct()
-        seen = found.join(members, "code").where("vec_id <> query_id").select("query_id", "vec_id", "distance")
+        seen = found.join(members.hint("merge"), "code").where("vec_id <> query_id").select("query_id", "vec_id", "distance")
         best = stored(
             best.union(seen).distinct().withColumn("rank", nearest).where(F.col("rank") <= top).drop("rank"), "code-best"
         )
