@@ -27,26 +27,30 @@ SCHEMA = (
 )
 
 
-#: Parts of which a chunk's words are known beforehand: Latin letters, ASCII punctuation but apostrophes, single digits.
+#: Parts that are words of their own to the tokenizer: Latin letters, ASCII punctuation but apostrophes, single digits.
 SIMPLE_PARTS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|[0-9]"
+PLAIN_TEXT = r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-~ \t\r\n]*"
 
 
 class WordCachedTokenizer:
     """Exact ids of a ``tokenizers`` file whose words never span a space or line feed, with bounded caches.
 
-    Texts are cut into chunks at spaces and line feeds. A new chunk made of simple parts is put together from its parts;
-    new parts are encoded by the library in one text and told apart by their last tokens. Any other new chunk is encoded
-    by the library alone. A cache beyond ``limit`` entries becomes the old generation, of which only what is seen again
-    lives on. A special token's string could span a cut, so a text that holds one goes to the library whole.
+    A text of simple parts and white space is put together from its parts; new parts are encoded by the library in one
+    text and told apart by their last tokens. Any other text is cut into chunks at spaces and line feeds: a new chunk of
+    simple parts is put together likewise, another is encoded by the library alone. A cache beyond ``limit`` entries
+    becomes the old generation, of which only what is seen again lives on. A special token's string could span a cut, so
+    a text that holds one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 160_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.is_plain = re.compile(PLAIN_TEXT).fullmatch
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.is_simple = re.compile(f"(?:{SIMPLE_PARTS})+").fullmatch
         self.cut = re.compile(SIMPLE_PARTS).findall
@@ -57,23 +61,35 @@ class WordCachedTokenizer:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, parts: list[str]) -> None:
-        """Put simple parts into the cache of parts."""
-        if len(self.parts) > 2 * self.limit:
-            self.parts = {}
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(parts):
-            raise ValueError("the tokenizer file does not mark the ends of words")
-        raw, start = ids.tobytes(), 0
-        for part, stop in zip(parts, stops, strict=True):
-            self.parts[part] = raw[start:stop]
-            start = stop
+    def known(self, parts: list[str]) -> dict[str, bytes]:
+        """A cache that holds all the simple parts given."""
+        if len(self.parts) > self.limit:
+            self.old_parts, self.parts = self.parts, {}
+        known, old = self.parts, self.old_parts
+        new = set(parts).difference(known)
+        if new:
+            known.update([(p, old[p]) for p in new if p in old])
+            missing = [p for p in new if p not in known]
+            if missing:
+                ids = self.tokenizer.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids
+                ids = np.array(ids, dtype="<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) != len(missing):
+                    raise ValueError("the tokenizer file does not mark the ends of words")
+                raw, start = ids.tobytes(), 0
+                for part, stop in zip(missing, stops, strict=True):
+                    known[part] = raw[start:stop]
+                    start = stop
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return self.whole(text).tobytes()
+        if self.is_plain(text):
+            parts = self.cut(text.lower())
+            known = self.known(parts)
+            return b"".join([known[p] for p in parts])
         try:
             text.encode("latin-1")
             text = text.lower()  # within Latin-1 as the library does; fewer chunks to keep
@@ -94,14 +110,8 @@ class WordCachedTokenizer:
                 else:
                     cache[chunk] = self.whole(chunk).tobytes()
             if simple:
-                missing = {p for parts in simple.values() for p in parts}.difference(self.parts)
-                if missing:
-                    self.learn(list(missing))
-                    if not all(p in self.parts for parts in simple.values() for p in parts):
-                        self.learn(list({p for parts in simple.values() for p in parts}))
-                known = self.parts
-                for chunk, parts in simple.items():
-                    cache[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+                known = self.known([p for parts in simple.values() for p in parts])
+                cache.update((chunk, b"".join([known[p] for p in parts])) for chunk, parts in simple.items())
         return b"".join([cache[c] for c in chunks])
 
 
