@@ -29,8 +29,11 @@ def sign_code(vector: Column) -> Column:
 
 
 def segment_widths(codes: int) -> list[int]:
-    """Widths of segments of about log2(codes) bits, so that a bucket holds about one code."""
-    parts = min(8, max(2, round(BITS / max(4.0, math.log2(max(codes, 2))))))
+    """Widths of segments of about log2(codes) - 2.5 bits, so that a bucket holds about six codes.
+
+    Wider segments would have emptier buckets, but the probes of one more bit of radius grow faster than that saves.
+    """
+    parts = min(10, max(2, round(BITS / max(6.0, math.log2(max(codes, 2)) - 2.5))))
     return [BITS // parts + (i < BITS % parts) for i in range(parts)]
 
 
