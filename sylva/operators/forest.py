@@ -90,31 +90,6 @@ def compact_group_instances(trees: DataFrame, group: str, entities: list[str]) -
     return own.select(values.alias("m")).select(*[F.col("m")[n].alias(n) for n in entities]).distinct()
 
 
-def renumbered(nodes: DataFrame, kept: Column) -> DataFrame:
-    """Drop nodes (not roots) that ``kept`` refuses, moving their child nodes up in place; their leaves go with them.
-
-    A surviving row's new path is its rank among the survivors at each level of surviving ancestors. Each tree is one
-    window of its own rows.
-    """
-    marked = nodes.withColumn("__keep", F.coalesce(kept, F.lit(False)) | (F.size("pos") == 0))
-    leaf_ok = marked.where("kind = 'NODE' AND __keep").select("tree_id", F.col("pos").alias("__p"))
-    leaf = marked.where("kind = 'LEAF'").withColumn("__p", parent_pos()).join(leaf_ok, ["tree_id", "__p"], "left_semi").select(*nodes.columns)
-    rows = marked.where("kind = 'NODE' AND __keep").select(*nodes.columns).unionByName(leaf.select(*nodes.columns))
-    surviving = rows.where("kind = 'NODE'").select("tree_id", F.col("pos").alias("anc"))
-    chain = (
-        with_ancestors(rows.select("tree_id", "pos")).where(F.size("anc") < F.size("pos"))
-        .join(surviving, ["tree_id", "anc"], "left_semi").groupBy("tree_id", "pos").agg(F.max("anc").alias("new_parent"))
-    )
-    order = Window.partitionBy("tree_id", "new_parent").orderBy("pos")
-    placed = chain.withColumn("i", F.row_number().over(order) - 1)
-    steps = with_ancestors(placed.select("tree_id", F.col("pos"))).where(F.size("anc") > 0).join(
-        placed.select("tree_id", F.col("pos").alias("anc"), "i"), ["tree_id", "anc"]
-    ).groupBy("tree_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("anc", "i"))), lambda s: s["i"]).alias("new_pos"))
-    return rows.join(steps, ["tree_id", "pos"], "left").withColumn(
-        "pos", F.coalesce("new_pos", F.array().cast("array<int>"))
-    ).select(*nodes.columns)
-
-
 def reduce_all(nodes: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Splice out nodes (not roots) with exactly one child and no type of ``skip``; a leaf child moves up too."""
     kids = child_measures(nodes).select("tree_id", "pos", "n_children")

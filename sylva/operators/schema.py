@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.model import Node
+from sylva.model import Node, map_trees, nodes_to_trees, trees_to_nodes
 from sylva.operators import forest
 
 LEFT, RIGHT, BOTH = "LEFT", "RIGHT", "BOTH"
@@ -181,29 +181,34 @@ def infer(nodes: DataFrame, keep_unlabelled: bool = True) -> Schema:
     return Schema(found, relations, rules)
 
 
-def valid_trees(nodes: DataFrame, schema: Schema) -> DataFrame:
-    """The forest with what the schema does not know taken out and its children moved up; the root becomes ROOT.
+def keep_valid(tree: Node, valid: frozenset[str]) -> Node | None:
+    """A tree without nodes of other labels than ``valid``: their child nodes move up in place, their leaves go.
 
-    Leaves and entities that would then stand directly under an untyped root go; trees left empty go.
+    An unknown root becomes ROOT, without leaves and entities directly below. None where nothing is left.
     """
-    valid = schema.labels()
-    known = F.col("label").isin(*valid) if valid else F.lit(False)
-    kept = forest.renumbered(nodes, known)
-    top = (F.size("pos") == 1) & ((F.col("kind") == "LEAF") | (F.col("type") == "ENT"))
-    untyped = kept.where("size(pos) = 0 AND kind = 'NODE'").where(~known).select("tree_id")
-    loose = kept.where(top).join(untyped, "tree_id", "left_semi").select("tree_id", F.element_at("pos", 1).alias("__first"))
-    rows = kept.withColumn("__first", F.when(F.size("pos") > 0, F.element_at("pos", 1))).join(loose, ["tree_id", "__first"], "left_anti")
-    some = rows.where("size(pos) > 0").select("tree_id").distinct()
-    rows = rows.join(some, "tree_id", "left_semi")
-    from pyspark.sql import Window
-
-    number = F.dense_rank().over(Window.partitionBy("tree_id", F.size("pos") > 0).orderBy("__first")) - 1
-    root = (F.size("pos") == 0) & ~known
-    return rows.withColumn("__i", number).withColumn(
-        "pos", F.when(F.size("pos") > 0, F.concat(F.array("__i"), F.slice("pos", 2, 10_000))).otherwise(F.col("pos"))
-    ).withColumn("name", F.when(root, "ROOT").otherwise(F.col("name"))).withColumn(
-        "type", F.when(root, None).otherwise(F.col("type"))).withColumn(
-        "label", F.when(root, "ROOT").otherwise(F.col("label"))).select(*nodes.columns)
+
+    def children(c: Node) -> list[Node | str]:
+        out: list[Node | str] = []
+        for k in c.children:
+            if isinstance(k, str):
+                out.append(k)
+            elif k.label in valid:
+                out.append(replace(k, children=tuple(children(k))))
+            else:
+                out += [x for x in children(k) if not isinstance(x, str)]
+        return out
+
+    kids = children(tree)
+    if tree.label not in valid:
+        kids = [x for x in kids if not isinstance(x, str) and x.type != "ENT"]
+        tree = replace(tree, label="ROOT")
+    return replace(tree, children=tuple(kids)) if kids else None
+
+
+def valid_trees(nodes: DataFrame, schema: Schema) -> DataFrame:
+    """The forest with what the schema does not know taken out. Trees are gathered once; the rest is narrow."""
+    valid = frozenset(schema.labels())
+    return trees_to_nodes(map_trees(nodes_to_trees(nodes), lambda t: (keep_valid(t, valid), True)))
 
 
 def datasets(nodes: DataFrame, schema: Schema) -> dict[str, DataFrame]:

@@ -71,12 +71,12 @@ def export_vertices(nodes: DataFrame, collapsed: frozenset[str] = frozenset()) -
 
 
 def export_edges(nodes: DataFrame) -> DataFrame:
-    """src, dst and type of each relation; from the smaller label unless metadata says otherwise."""
+    """src, dst and type of each relation: from the larger label, or from the smaller one where metadata names it as source."""
     rel = nodes.where("type = 'REL'").select("tree_id", F.col("pos").alias("r"), "name", "metadata")
     kids = forest.with_links(nodes).where("type = 'GROUP'").select("tree_id", F.col("parent_pos").alias("r"), "ord", F.col("name").alias("label"), "oid")
     both = rel.join(kids, ["tree_id", "r"]).groupBy("tree_id", "r", "name").agg(
         F.first("metadata").alias("m"), F.min(F.struct("label", "ord", "oid")).alias("a"), F.max(F.struct("label", "ord", "oid")).alias("b"), F.count("*").alias("n"))
-    keep = F.col("m").isNull() | (F.col("m")["source"] == F.col("a.label"))
+    keep = F.coalesce(F.col("m")["source"] == F.col("a.label"), F.lit(False))
     return both.where("n = 2").select(
         F.when(keep, F.col("a.oid")).otherwise(F.col("b.oid")).alias("src"), F.when(keep, F.col("b.oid")).otherwise(F.col("a.oid")).alias("dst"),
         F.coalesce(F.col("m")["source_column"], F.replace("name", F.lit("<->"), F.lit("_"))).alias("type")).distinct()

@@ -7,6 +7,7 @@ import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,43 +135,37 @@ def insert_entity(tree: Node, first: int, last: int, name: str) -> Node:
         at = 0
         for i, c in enumerate(node.children):
             n = size(c)
-            whole = lo == at and hi == at + n - 1
-            if isinstance(c, Node) and at <= lo and hi <= at + n - 1 and not (whole and c.type != "ENT" and len(c.children) != 1):
-                if not (whole and c.type == "ENT"):
-                    kids = list(node.children)
-                    kids[i] = place(c, lo - at, hi - at)
-                    return Node(node.label, tuple(kids), node.oid, node.metadata)
+            # Down to the lowest node that covers the span, but not into an entity over exactly this span.
+            if isinstance(c, Node) and at <= lo and hi < at + n and not (c.type == "ENT" and (lo, hi) == (at, at + n - 1)):
+                kids = list(node.children)
+                kids[i] = place(c, lo - at, hi - at)
+                return Node(node.label, tuple(kids), node.oid, node.metadata)
             at += n
-        kids, at, made = [], 0, False
-        leaves = node.leaves()[lo : hi + 1]
+        kids: list[Node | str | None] = []
         inside: list[Node | str] = []
+        at, made = 0, False
         for c in node.children:
             n = size(c)
-            covered = at <= hi and at + n - 1 >= lo
-            if covered:
-                if lo <= at and at + n - 1 <= hi and isinstance(c, Node) and any(e.type == "ENT" for _, e in c.walk()):
-                    inside.append(c)
-                elif lo <= at and at + n - 1 <= hi:
-                    inside += [c] if isinstance(c, str) else c.leaves()
-                else:
-                    inside += (c.leaves() if isinstance(c, Node) else [c])[max(lo - at, 0) : hi - at + 1]
-                    before = cut(c, max(lo - at, 0), hi - at)
-                    if before is not None and at < lo:
-                        kids.append(before)
-                    if not made:
-                        kids.append(None)
-                        made = True
-                    if before is not None and at >= lo:
-                        kids.append(before)
-                    at += n
-                    continue
-                if not made:
-                    kids.append(None)
-                    made = True
-            else:
-                kids.append(c)
+            first_in, last_in = max(lo - at, 0), min(hi - at, n - 1)
             at += n
-        entity = Node(f"ENT::{name}", tuple(inside or leaves))
+            if first_in > last_in:
+                kids.append(c)
+                continue
+            rest = cut(c, first_in, last_in)
+            if rest is None:
+                holds = isinstance(c, Node) and bool(c.entities())
+                inside += [c] if isinstance(c, str) or holds else c.leaves()
+            else:
+                inside += c.leaves()[first_in : last_in + 1]
+            before = rest is not None and first_in > 0
+            if before:
+                kids.append(rest)
+            if not made:
+                kids.append(None)
+                made = True
+            if rest is not None and not before:
+                kids.append(rest)
+        entity = Node(f"ENT::{name}", tuple(inside))
         return Node(node.label, tuple(entity if k is None else k for k in kids), node.oid, node.metadata)
 
     return place(tree, first, last)
@@ -273,11 +268,7 @@ def extract_entities(sentences: DataFrame, make_extractor: Callable[[], Callable
     """Sentences with the entities that an extractor finds appended to their own."""
     kind = "array<struct<name:string,start:int,end:int>>"
 
-    from pyspark.sql.functions import pandas_udf
-
-    import pandas as pd
-
-    @pandas_udf(kind)
+    @F.pandas_udf(kind)
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         extract = make_extractor()
         for s in parts:
