@@ -57,6 +57,11 @@ def read_standoff(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     stem = F.regexp_replace(F.input_file_name(), r"\.[^.]+$", "")
     texts = spark.read.text(f"{folder}/*.txt", wholetext=True).select(stem.alias("doc_id"), F.col("value").alias("text"))
     lines = spark.read.text(f"{folder}/*.ann").select(stem.alias("doc_id"), "value")
+    return (texts, *parse_standoff(lines))
+
+
+def parse_standoff(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of annotation lines (doc_id, value); notes, events and attributes are left out."""
     t = r"^(T\d+)\t(\S+) (\d+)(?: .*?|;.*?)?(\d+)\t(.*)$"
     spans = lines.where(F.col("value").startswith("T")).select(
         "doc_id", F.regexp_extract("value", r"^(T\d+)\t", 1).alias("entity_id"),
@@ -69,7 +74,7 @@ def read_standoff(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         "doc_id", F.upper(F.regexp_extract("value", r, 1)).alias("name"), F.regexp_extract("value", r, 2).alias("src"),
         F.regexp_extract("value", r, 3).alias("dst"),
     )
-    return texts, spans, links
+    return spans, links
 
 
 def rename_and_exclude(rows: DataFrame, mapping: dict[str, str], exclude: set[str], uncertain: bool = False) -> DataFrame:
