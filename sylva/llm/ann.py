@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import stored
+from sylva.llm.common import bounded, stored
 
 TOP, QUERY_STEP = 20, 20
 SHARD_ROWS, DEGREE, BEAM, QUERY_BEAM, RELAX = 8_192, 32, 64, 128, 1.2
@@ -209,7 +209,7 @@ def index_shards(rows: DataFrame, keep_ids: int, shards: int) -> DataFrame:
             "ids": pa.array([np.concatenate([np.array(i, dtype=np.int64) for i in ids]).tobytes()], pa.binary()),
         })
 
-    merged = rows.mapInArrow(merge, "v binary, ids array<long>")
+    merged = bounded(rows).mapInArrow(merge, "v binary, ids array<long>")
     # Vectors of different lengths have no inner product: each length has shards of its own.
     dealt = merged.withColumn("shard", (F.length("v") * shards + F.pmod(F.xxhash64("v"), F.lit(shards))).cast("int"))
     return dealt.groupBy("shard").applyInArrow(
@@ -296,6 +296,6 @@ def search(embeddings: DataFrame, top: int = TOP, step: int = QUERY_STEP, shard_
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (
-        meetings.mapInArrow(find, "query_id long, vec_id long, score double").distinct()
+        bounded(meetings).mapInArrow(find, "query_id long, vec_id long, score double").distinct()
         .withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
     )

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.common import bounded, sliced
+
 WINDOW, END_ID = 4096, 2
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,7 +44,7 @@ class WordCachedTokenizer:
     a text that holds one goes to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 220_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -228,7 +230,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text or "") + end
                 tokens = len(ids) // 4
@@ -249,4 +251,4 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
         yield emit()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return bounded(rows).mapInArrow(run, SCHEMA)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.common import bounded, sliced
+
 SPACE = "▁"
 
 
@@ -223,11 +225,11 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_table(model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = pa.array([encoder.encode(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return _rows(documents).mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(_rows(documents)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -239,7 +241,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [decoder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def digest_documents(documents: DataFrame, model_path: str) -> DataFrame:
@@ -252,14 +254,14 @@ def digest_documents(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model_path)
         for batch in batches:
-            found = [table.digest(t or "") for t in batch.column("text").to_pylist()]
+            found = [table.digest(t or "") for part in sliced([batch]) for t in part.column("text").to_pylist()]
             n, ids, back = (list(x) for x in zip(*found)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _rows(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(_rows(documents)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _rows(documents: DataFrame) -> DataFrame:

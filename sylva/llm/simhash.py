@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import connected_components, stored
+from sylva.llm.common import bounded, connected_components, sliced, stored
 
 SEED, WORDS, BITS, HALF = 42, 4, 64, 2
 #: Fingerprints whose own leading bits fall in one pattern, on average; and rows of a pattern before it is dealt again.
@@ -53,13 +53,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"]
-            )
+            found = [fingerprint(t) for part in sliced([batch]) for t in part.column("text").to_pylist()]
+            own = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own], names=["doc_id", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return bounded(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(bits: int, flips: int) -> list[int]:

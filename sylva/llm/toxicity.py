@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.common import bounded, sliced
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 6)
 THRESHOLD = 0.7
@@ -67,7 +69,7 @@ class Machine:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str | None) -> float:
-        if len(self.words) > 200_000:
+        if len(self.words) > 100_000:
             self.words = {}
         known, present = self.words, set()
         for w in set(WORD.findall((text or "").lower())):
@@ -145,7 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2_048):
             n: Counter = Counter()
             pos: Counter = Counter()
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -167,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
         n * F.lit(expected * max(1 - expected, 1e-9)) * F.greatest(F.lit(float(total)) - n, F.lit(1.0))
     )
     picked = (
-        rows.mapInArrow(counted, "term long, n long, pos long")
+        bounded(rows).mapInArrow(counted, "term long, n long, pos long")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
         .where(n >= s.min_docs).select("term", chi2.alias("chi2")).where(F.col("chi2") >= s.min_chi2)
         .orderBy(F.desc("chi2"), "term").limit(s.max_terms).collect()
@@ -176,10 +178,11 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [sorted(index[t] for t in terms(x) if t in index) for x in batch.column("text").to_pylist()]
+            texts = (x for part in sliced([batch]) for x in part.column("text").to_pylist())
+            at = [sorted(index[t] for t in terms(x) if t in index) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
 
-    found = rows.mapInArrow(present, "y int, at array<int>").collect()
+    found = bounded(rows).mapInArrow(present, "y int, at array<int>").collect()
     # Copies of one document count once, and the order of the rows does not matter.
     distinct = sorted({(r["y"], tuple(r["at"])) for r in found if r["at"]})
     clean = sum(1 for r in found if not r["at"] and not r["y"])
@@ -199,11 +202,11 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*parts)
         for batch in batches:
-            scores = pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            scores = pa.array([own.score(t) for part in sliced([batch]) for t in part.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").select(
+    return bounded(rows).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -222,7 +225,7 @@ def keep_clean(documents: DataFrame, labels: DataFrame, s: Settings = Settings()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*parts)
         for batch in batches:
-            keep = [own.score(t) < THRESHOLD for t in batch.column(at).to_pylist()]
+            keep = [own.score(t) < THRESHOLD for part in sliced([batch]) for t in part.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return bounded(documents).mapInArrow(run, documents.schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import shared_dir, stored
+from sylva.llm.common import bounded, shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are never revisits.
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 256 << 20, l
             names=["file", "bytes", "records"],
         )
 
-    return planned(pages).mapInArrow(run, "file string, bytes long, records long")
+    return bounded(planned(pages)).mapInArrow(run, "file string, bytes long, records long")
 
 
 class Window:
