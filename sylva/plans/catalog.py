@@ -296,7 +296,7 @@ SELECT name, "left", "right", CASE WHEN l = r THEN 'BOTH' WHEN l THEN 'LEFT' ELS
 
 @query(_ORIENTED)
 def schema_relation_orientation(spark, folder):
-    return schema.orientations(schema.compact_examples(_walk(spark, folder, "orders").trees()))
+    return schema.orientations(_walk(spark, folder, "orders").relation_examples())
 
 
 @query(f"""WITH o AS ({_ORIENTED}), w AS (SELECT "left" AS name, CASE WHEN orientation = 'RIGHT' THEN 1 ELSE 3 END AS w FROM o UNION ALL SELECT "right", CASE WHEN orientation = 'LEFT' THEN 1 ELSE 3 END FROM o)

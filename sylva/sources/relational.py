@@ -197,6 +197,24 @@ class Walk:
     def nodes(self) -> DataFrame:
         return trees_as_nodes(self.trees())
 
+    def relation_examples(self) -> DataFrame:
+        """Distinct pairs of records per relation, by their keys: what orientation needs, without building a tree."""
+
+        def key(step: Step) -> Column:
+            table = self.catalog[step.table]
+            parts = [F.coalesce(self.col(step.alias, k).cast("string"), F.lit("")) for k in table.primary_key or table.columns]
+            return F.concat_ws("\x1f", F.lit(step.table), *parts)
+
+        out = None
+        for step in self.steps[1:]:
+            parent = self.by_alias(step.parent)
+            pairs = self.joined.where(self.present(step)).select(
+                F.lit(self.relation_name(step)).alias("relation"), F.lit(parent.table).alias("left_name"), key(parent).alias("left_oid"),
+                F.lit(step.table).alias("right_name"), key(step).alias("right_oid"),
+            ).distinct()
+            out = pairs if out is None else out.union(pairs)
+        return out
+
     def label_counts(self) -> DataFrame:
         """type, name and count over all trees without building a node: one aggregate over the joined rows."""
         sums: dict[tuple[str, str], list[Column]] = {("", "ROOT"): [F.count(F.lit(1))]}
