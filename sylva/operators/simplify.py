@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,11 +75,12 @@ def _form_groups(trees: DataFrame, members: DataFrame, min_support: int) -> Data
     return joined.mapInArrow(run, TREE_SCHEMA + ", changed boolean")
 
 
-def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int = 100, min_support: int | None = None,
+def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int | None = 100, min_support: int | None = None,
              metric: str = "jaro", operations: list[tuple[str, Operation]] | None = None, names: bool = True) -> tuple[DataFrame, list[str]]:
     """``trees(tree_id, tree)`` rewritten to a fixed point, and the operator that made each round's change.
 
-    At most ``epochs`` rounds. ``min_support`` defaults to a tenth of the trees, 2 at least.
+    At most ``epochs`` rounds, or as many as it takes where that is None; then a forest that comes back to an earlier
+    state has no fixed point, which is an error. ``min_support`` defaults to a tenth of the trees, 2 at least.
     """
     if not 0 <= tau <= 1 or decay <= 0:
         raise ValueError("tau must be between 0 and 1, decay above 0")
@@ -86,7 +88,13 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
     now = _stored(trees.select("tree_id", "tree"), folder)
     support = min_support if min_support is not None else max(now.count() // 10, 2)
     log: list[str] = []
-    for _ in range(epochs):
+    seen_states: set[tuple] = set()
+    for _ in count() if epochs is None else range(epochs):
+        if epochs is None:
+            state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("tree_id", "tree").cast("decimal(38,0)"))).first())
+            if state in seen_states:
+                raise RuntimeError("rewriting goes in circles")
+            seen_states.add(state)
         now = _stored(map_trees(now, lambda t: (reduce_all(t, frozenset({"ENT"})), True)).select("tree_id", "tree"), folder)
         members = cluster.clusters(trees_to_nodes(now), tau, metric, decay)
         grouped = _stored(_form_groups(now, members, support), folder)

@@ -447,7 +447,7 @@ def _raw_conversations(spark, folder) -> DataFrame:
 
 
 def _event_trees(spark, folder) -> DataFrame:
-    e = _table(spark, folder, "events").where("event_id < 400")
+    e = _table(spark, folder, "events")
     body = F.to_json(F.struct(F.struct("user_id", "event_type").alias("who"), F.struct("value", "ts").alias("what")))
     return docs.read_documents(e.select("event_id", body.alias("json")), "event_id", "json", "event", raw=True)
 
@@ -460,7 +460,7 @@ def subtree_clusters(spark, folder):
 
 @query()
 def rewrite_fixed_point(spark, folder):
-    trees, _ = simplify.simplify(_event_trees(spark, folder), epochs=8)
+    trees, _ = simplify.simplify(_event_trees(spark, folder), epochs=None)
     return _label_counts(trees_to_nodes(trees))
 
 
