@@ -408,16 +408,17 @@ def type_statistics(spark, folder):
 # --- similarity and clustering --------------------------------------------------------------------------------------------
 
 
-def _brand_types(spark, folder) -> DataFrame:
-    p = _table(spark, folder, "part").where("p_size <= 3")
+def _brand_types(spark, folder, whole: bool = False) -> DataFrame:
+    p = _table(spark, folder, "part")
+    p = p if whole else p.where("p_size <= 3")
     return p.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("labels"))
 
 
 _BRANDS = "WITH g AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS e FROM part WHERE p_size <= 3 GROUP BY 1), p AS (SELECT a.p_brand AS a, b.p_brand AS b, a.e AS x, b.e AS y FROM g a JOIN g b ON a.p_brand < b.p_brand), m AS (SELECT *, len(list_intersect(x, y)) AS i FROM p) "
 
 
-def _similarities(spark, folder, metric) -> DataFrame:
-    g = _brand_types(spark, folder)
+def _similarities(spark, folder, metric, whole: bool = False) -> DataFrame:
+    g = _brand_types(spark, folder, whole)
     a, b = (g.select(F.col("p_brand").alias(s), F.col("labels").alias(f"l{s}")) for s in "ab")
     keyed_a, keyed_b = a.withColumn("key", F.explode("la")), b.withColumn("key", F.explode("lb"))
     met = keyed_a.join(keyed_b, "key").where("a < b").select("a", "b", "la", "lb").distinct()
@@ -442,6 +443,11 @@ def label_similarity_jaro_winkler(spark, folder):
     return _similarities(spark, folder, fn.jaro_winkler)
 
 
+for _name, _metric in (("jaccard", fn.jaccard), ("dice", fn.dice), ("jaro_winkler", fn.jaro_winkler)):
+    query(_ORACLES[f"label_similarity_{_name}"].replace(" WHERE p_size <= 3", ""), f"label_similarity_{_name}_whole")(
+        lambda spark, folder, m=_metric: _similarities(spark, folder, m, whole=True))
+
+
 def _raw_conversations(spark, folder) -> DataFrame:
     return docs.read_documents(_conversation_documents(spark, folder).where("conv_id < 40"), "conv_id", "json", "conversation", raw=True)
 

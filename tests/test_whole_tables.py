@@ -33,3 +33,10 @@ def test_rewriting_that_never_settles_is_an_error(spark):
     trees = docs.read_documents(rows, "i", "json", "event", raw=True)
     with pytest.raises(RuntimeError, match="circles"):
         simplify.simplify(trees, epochs=None, operations=[("same", lambda t, k, s: (t, True))])
+
+
+def test_every_part_has_its_label(spark, tmp_path):
+    rows = [("a", "x", 1), ("a", "y", 40), ("b", "x", 2), ("b", "z", 50)]
+    spark.createDataFrame(rows, "p_brand string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = {m: catalog.queries()[f"label_similarity_{m}_whole"](spark, str(tmp_path)).first()["similarity"] for m in ("jaccard", "dice")}
+    assert found == {"jaccard": round(1 / 3, 9), "dice": 0.5}  # both are 1 among the small parts
