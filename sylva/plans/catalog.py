@@ -305,8 +305,9 @@ def collapsible_groups(spark, folder):
     return schema.collapsible(schema_relation_orientation(spark, folder))
 
 
-def _nation_segments(spark, folder) -> DataFrame:
-    c = _table(spark, folder, "customer").where("c_acctbal > 9000")
+def _nation_segments(spark, folder, whole: bool = False) -> DataFrame:
+    c = _table(spark, folder, "customer")
+    c = c if whole else c.where("c_acctbal > 9000")
     return c.groupBy(F.col("c_nationkey").cast("string").alias("name")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("entities"))
 
 
@@ -323,6 +324,19 @@ def group_balance(spark, folder):
     return schema.balance(_nation_segments(spark, folder)).select(F.round("balance", 9).alias("balance"))
 
 
+_WHOLE_SEGMENTS = _SEGMENTS.replace(" WHERE c_acctbal > 9000", "")
+
+
+@query(_ORACLES["group_overlap"].replace(_SEGMENTS, _WHOLE_SEGMENTS))
+def group_overlap_whole(spark, folder):
+    return schema.overlap(_nation_segments(spark, folder, whole=True)).select(F.round("overlap", 9).alias("overlap"))
+
+
+@query(_ORACLES["group_balance"].replace(_SEGMENTS, _WHOLE_SEGMENTS))
+def group_balance_whole(spark, folder):
+    return schema.balance(_nation_segments(spark, folder, whole=True)).select(F.round("balance", 9).alias("balance"))
+
+
 @query(_label_counts_sql("customer", leave_out=("region",)))
 def valid_trees(spark, folder):
     """The forest under a schema without regions: their nodes go, entities of dropped groups at the root too."""
