@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm import nearcopies
 from sylva.llm.common import bounded, connected_components, sliced, stored
 
 SEED, WORDS, BITS, HALF = 42, 4, 64, 2
@@ -174,9 +175,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the id of its component: one document of each group of near copies.
 
+    Near copies share four fifths of their 5-word shingles (see ``nearcopies``), which fingerprints do not decide.
+
     Of rows that are equal in all columns one stays. Rows without a doc_id cannot be named by a component and stay.
     """
-    keep = near_duplicates(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = nearcopies.components(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     # Both steps need rows dealt by doc_id only, so the second one moves nothing.
     named = documents.join(keep, documents["doc_id"] == keep["__keep"]).drop("__keep").dropDuplicates()
     return named.union(documents.where(F.col("doc_id").isNull()))
