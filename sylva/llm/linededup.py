@@ -108,18 +108,23 @@ def _texts(documents: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame
     )
 
 
-def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+def line_classes(
+    documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None
+) -> DataFrame:
     """Each line that takes part, with the first line of its class and whether it is that line.
 
-    Lines of at least ``min_chars`` characters (outer spaces aside) take part; those within ``max_edits`` edits are
+    Lines of ``exact_chars`` to ``min_chars`` characters are in one class with their equals only. Lines of at least ``min_chars`` characters (outer spaces aside) take part; those within ``max_edits`` edits are
     linked, and a class is what links connect. First is the smallest (doc_id, line_no); a null doc_id comes before all.
     Rows repeated with one doc_id have equal positions, so the first line is kept in each. Null and empty texts have no
     lines; an empty table gives an empty result.
     """
     line, size = F.col("line"), F.char_length("line")
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
     keys = _keys(line, size, max_edits)
+    if least < min_chars:
+        keys = [(own, F.when(size >= min_chars, k)) for own, k in keys]
     marked = stored(
-        _hashed(document_lines(documents, min_chars)).select(
+        _hashed(document_lines(documents, least)).select(
             "doc_id", "line_no", "h1", "h2", *[k.alias(f"k{i}") for i, (_, k) in enumerate(keys)]
         ),
         "lines",
@@ -160,9 +165,9 @@ def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: in
 def dedup_lines(documents: DataFrame, **settings: int) -> DataFrame:
     """``documents`` without the lines that are not the first of their class; all rows and columns stay.
 
-    Where there is a column ``n_chars`` it follows the text. A text of which no line is left is empty.
+    Lines below the edit join's length go where they equal an earlier line; empty ones stay. Where there is a column ``n_chars`` it follows the text. A text of which no line is left is empty.
     """
-    gone = line_classes(documents, **settings).where("NOT kept").groupBy("doc_id").agg(
+    gone = line_classes(documents, **{"exact_chars": 1} | settings).where("NOT kept").groupBy("doc_id").agg(
         F.collect_set("line_no").alias("__gone")
     ).withColumnRenamed("doc_id", "__doc")
     rows = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
