@@ -109,14 +109,15 @@ def _texts(documents: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame
 
 
 def line_classes(
-    documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None
+    documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None,
+    hashes: bool = False,
 ) -> DataFrame:
     """Each line that takes part, with the first line of its class and whether it is that line.
 
     Lines of ``exact_chars`` to ``min_chars`` characters are in one class with their equals only. Lines of at least ``min_chars`` characters (outer spaces aside) take part; those within ``max_edits`` edits are
     linked, and a class is what links connect. First is the smallest (doc_id, line_no); a null doc_id comes before all.
     Rows repeated with one doc_id have equal positions, so the first line is kept in each. Null and empty texts have no
-    lines; an empty table gives an empty result.
+    lines; an empty table gives an empty result. With ``hashes`` there is a column more, the line's hash.
     """
     line, size = F.col("line"), F.char_length("line")
     least = min_chars if exact_chars is None else min(exact_chars, min_chars)
@@ -159,21 +160,23 @@ def line_classes(
     return marked.select("doc_id", "line_no", "h1", "h2").join(heads, ["h1", "h2"]).select(
         "doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),
         (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))).alias("kept"),
+        *(["h1"] if hashes else []),
     )
 
 
 def dedup_lines(documents: DataFrame, **settings: int) -> DataFrame:
     """``documents`` without the lines that are not the first of their class; all rows and columns stay.
 
+    A line goes by its number and text, so that texts under one doc_id (or none) lose their own lines only.
     Lines below the edit join's length go where they equal an earlier line; empty ones stay. Where there is a column ``n_chars`` it follows the text. A text of which no line is left is empty.
     """
-    gone = line_classes(documents, **{"exact_chars": 1} | settings).where("NOT kept").groupBy("doc_id").agg(
-        F.collect_set("line_no").alias("__gone")
+    gone = line_classes(documents, **{"exact_chars": 1} | settings, hashes=True).where("NOT kept").groupBy("doc_id").agg(
+        F.collect_set(F.xxhash64("line_no", "h1")).alias("__gone")
     ).withColumnRenamed("doc_id", "__doc")
     rows = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
     text = F.col("text").cast("string")
     left = F.array_join(
-        F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"
+        F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), F.xxhash64(i, F.xxhash64(F.trim(x))))), "\n"
     )
     columns = {"text": F.when(F.col("__gone").isNull(), text).otherwise(left)}
     out = [columns.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns]

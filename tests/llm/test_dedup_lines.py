@@ -8,3 +8,10 @@ def test_short_lines_go_where_they_repeat(spark):
     docs = documents(spark, ["All rights reserved.\none", "two\n\n  All rights reserved.", "All rights reserved!\n\none"])
     out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     assert out == {0: "All rights reserved.\none", 1: "two\n", 2: "All rights reserved!\n"}
+
+
+def test_texts_without_an_id_lose_their_own_lines_only(spark):
+    common = "a common line that is long enough to take part"
+    docs = documents(spark, [f"{common}\nonly in the first of both texts", f"only in the second of both\n{common}"], [None, None])
+    out = sorted(r["text"] for r in linededup.dedup_lines(docs).collect())
+    assert out == [f"{common}\nonly in the first of both texts", "only in the second of both"]
