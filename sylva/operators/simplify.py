@@ -6,17 +6,16 @@ to the tasks as supports and a few representatives per cluster.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.model import TREE_SCHEMA, Node, from_json, map_trees, reduce_all, to_json, trees_to_nodes
 from sylva.operators import cluster, rewrite
+from sylva.shared import stored
 
 Operation = Callable[[Node, rewrite.Equivalence, int], rewrite.Change]
 
@@ -32,16 +31,6 @@ DEFAULT_OPERATIONS: list[tuple[str, Operation]] = [
 ]
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='sylva-')}"
-
-
-def _stored(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/forest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def equivalence(members: DataFrame, tau: float, metric: str, decay: float, top: int = 20) -> rewrite.Equivalence:
     """Supports and up to ``top + 1`` representatives of each cluster, by rank; one row per cluster is collected."""
     chain = F.transform("ctx", lambda e: F.struct(F.when(e["typed"], e["label"]).alias("label"), e["labels"].alias("labels")))
@@ -84,8 +73,7 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
     """
     if not 0 <= tau <= 1 or decay <= 0:
         raise ValueError("tau must be between 0 and 1, decay above 0")
-    folder = _shared(trees.sparkSession)
-    now = _stored(trees.select("tree_id", "tree"), folder)
+    now = stored(trees.select("tree_id", "tree"), "forest")
     support = min_support if min_support is not None else max(now.count() // 10, 2)
     log: list[str] = []
     seen_states: set[tuple] = set()
@@ -95,14 +83,14 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
             if state in seen_states:
                 raise RuntimeError("rewriting goes in circles")
             seen_states.add(state)
-        now = _stored(map_trees(now, lambda t: (reduce_all(t, frozenset({"ENT"})), True)).select("tree_id", "tree"), folder)
+        now = stored(map_trees(now, lambda t: (reduce_all(t, frozenset({"ENT"})), True)).select("tree_id", "tree"), "forest")
         members = cluster.clusters(trees_to_nodes(now), tau, metric, decay)
-        grouped = _stored(_form_groups(now, members, support), folder)
+        grouped = stored(_form_groups(now, members, support), "forest")
         formed = bool(grouped.where("changed").take(1))
         now = grouped.select("tree_id", "tree")
         known = equivalence(members, tau, metric, decay)
         for name, operation in operations or DEFAULT_OPERATIONS:
-            done = _stored(map_trees(now, lambda t, f=operation: f(t, known, support)), folder)
+            done = stored(map_trees(now, lambda t, f=operation: f(t, known, support)), "forest")
             if done.where("changed").take(1):
                 now = done.select("tree_id", "tree")
                 log.append(name)
@@ -113,9 +101,9 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
             log.append("create_groups")
     for last in (rewrite.find_relations, rewrite.find_collections):
         now = map_trees(now, lambda t, f=last: f(t, naming_only=True)).select("tree_id", "tree")
-    now = _stored(now, folder)
+    now = stored(now, "forest")
     if names:
         seen = trees_to_nodes(now).where("type = 'GROUP'").groupBy("name").agg(F.min(F.struct("tree_id", "pos")).alias("at"))
         new = rewrite.simplified_names([r["name"] for r in seen.orderBy("at").collect()])  # one row per group name
-        now = _stored(map_trees(now, lambda t: rewrite.rename(t, new)).select("tree_id", "tree"), folder)
+        now = stored(map_trees(now, lambda t: rewrite.rename(t, new)).select("tree_id", "tree"), "forest")
     return now, log
