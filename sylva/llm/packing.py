@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import bounded, sliced
+from sylva.llm.common import sliced
 
 WINDOW, END_ID = 4096, 2
 SCHEMA = (
@@ -31,7 +31,17 @@ SCHEMA = (
 
 #: Parts that are words of their own to the tokenizer: Latin letters, ASCII punctuation but apostrophes, single digits.
 SIMPLE_PARTS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|[0-9]"
+#: Texts and chunks of such parts only, as one class of characters each, so that a match takes linear time.
 PLAIN_TEXT = r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-~ \t\r\n]*"
+SIMPLE_CHUNK = r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-~]+"
+
+
+#: Texts on which a tokenizer file has to agree with its parts put together: letters, digits, marks, cases, white space.
+PROBES = (
+    "plain words, and more of them", "MiXeD Case ÀÉÎÕÜ straße ÿ", "a1b22c333 4.5e-6 7/8", "don't we'll THEY'RE I'd 'tis rock'n'roll",
+    "tabs\tand\nlines\r\n  double  spaces ", "~!@#$%^&*()_+{}|:\"<>?[];,./-=\\`", "«guillemets» café—naïve ñandú ¿qué?", "日本語 русский ελληνικά",
+    "x" * 60 + "9" * 20 + "-" * 20, "snake_case camelCase http://a.b/c?d=e&f#g", " ", "",
+)
 
 
 class WordCachedTokenizer:
@@ -40,8 +50,9 @@ class WordCachedTokenizer:
     A text of simple parts and white space is put together from its parts; new parts are encoded by the library in one
     text and told apart by their last tokens. Any other text is cut into chunks at spaces and line feeds: a new chunk of
     simple parts is put together likewise, another is encoded by the library alone. A cache beyond ``limit`` entries
-    becomes the old generation, of which only what is seen again lives on. A special token's string could span a cut, so
-    a text that holds one goes to the library whole.
+    becomes the old generation, of which only what is seen again lives on. A special token's string could span a cut, or
+    come about by lower-casing, so a text that holds one in any case goes to the library whole. Whether a tokenizer file
+    cuts words as assumed here is tried on ``PROBES`` when it is loaded; if it does not, all texts go to it whole.
     """
 
     def __init__(self, path: str, limit: int = 220_000):
@@ -53,12 +64,20 @@ class WordCachedTokenizer:
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
         self.is_plain = re.compile(PLAIN_TEXT).fullmatch
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.is_simple = re.compile(f"(?:{SIMPLE_PARTS})+").fullmatch
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.is_simple = re.compile(SIMPLE_CHUNK).fullmatch
         self.cut = re.compile(SIMPLE_PARTS).findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.fast = True
+        self.fast = all(self._agrees(text) for text in PROBES)
+
+    def _agrees(self, text: str) -> bool:
+        try:
+            return self.encode(text) == self.whole(text).tobytes()
+        except (KeyError, ValueError):
+            return False
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -86,15 +105,16 @@ class WordCachedTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
+        lowered = text.lower()
+        if not self.fast or any(s in lowered for s in self.special):
             return self.whole(text).tobytes()
         if self.is_plain(text):
-            parts = self.cut(text.lower())
+            parts = self.cut(lowered)
             known = self.known(parts)
             return b"".join([known[p] for p in parts])
         try:
             text.encode("latin-1")
-            text = text.lower()  # within Latin-1 as the library does; fewer chunks to keep
+            text = lowered  # within Latin-1 as the library does; fewer chunks to keep
         except UnicodeEncodeError:
             pass
         chunks = text.replace("\n", " ").split(" ")
@@ -251,4 +271,4 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
         yield emit()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

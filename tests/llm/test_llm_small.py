@@ -122,7 +122,7 @@ def brute_components(fps):
     return {int(f): find(i) for i, f in enumerate(fps)}
 
 
-@pytest.mark.parametrize("bits,hot", [(None, 30_000), (6, 400), (4, 60)])
+@pytest.mark.parametrize("bits,hot", [(None, 2_000_000), (6, 90_000), (4, 40_000)])
 def test_ball_links(spark, bits, hot):
     rng = random.Random(5)
     centre = rng.getrandbits(64)
@@ -243,7 +243,28 @@ def test_words_equal_the_library():
     for _ in range(1500):
         t = "".join(rng.choice("aAbZéÉß .,'sStT\n\t019_-µ×漢ΣİŒ́<|") for _ in range(rng.randint(0, 25)))
         assert own.encode(t) == own.whole(t).tobytes()
-    assert own.encode("a<|endoftext|>b c") == own.whole("a<|endoftext|>b c").tobytes()
+    assert own.fast
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|", "'", "'s", "don't", " ", "\n", "café", "É", "a,b", "Σ", "ﬁ"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        assert own.encode(t) == own.whole(t).tobytes()
+
+
+def test_long_chunks_take_linear_time():
+    own = packing.WordCachedTokenizer(tokenizers.path("word_bpe_49k.json"))
+    t = "a" * 5000 + "-" * 5000 + "'漢"
+    assert own.encode(t) == own.whole(t).tobytes()
+
+
+def test_a_file_that_cuts_words_otherwise_is_used_whole():
+    other = packing.WordCachedTokenizer(tokenizers.path("word_bpe_49k.json"))
+    plain = packing.SIMPLE_PARTS
+    try:
+        packing.SIMPLE_PARTS = r"[A-Za-z]|[0-9]"  # as a file would have it that cuts each letter apart
+        other.__init__(tokenizers.path("word_bpe_49k.json"))
+    finally:
+        packing.SIMPLE_PARTS = plain
+    assert not other.fast and other.encode("some words") == other.whole("some words").tobytes()
 
 
 def test_packing(spark, odd):
