@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 RACK_SHARDS, REGION_RACKS = 4, 2
 #: Rows of a shard are numbered in this many independent runs, so no task ever sorts a whole shard.
 SLOT_RUNS = 1024
+#: Copies of one row that are put out at a time.
+COPIES = 65_536
 
 
 @dataclass(frozen=True)
@@ -74,28 +76,34 @@ def assign(df: DataFrame, key: str, tree: list[Leaf], out: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, group: str, key: str, order: list[str], out: str, groups: int) -> DataFrame:
-    """``df`` with a gapless number from 0 within each ``group``, in column ``out``.
+def number_rows(rows: DataFrame, group: str, out: str, groups: int) -> DataFrame:
+    """``rows`` with a gapless number from 0 within each ``group``, in column ``out``; other columns are kept.
 
-    Rows of a group are dealt by key into ``SLOT_RUNS`` runs; a run's rows are numbered in one window and the run's start
-    is the sum of the counts before it. The table of starts has at most groups x SLOT_RUNS rows and is broadcast under
-    that bound. Rows equal in key and ``order`` are interchangeable.
+    Equal rows are counted before anything is shuffled, and only the counts are numbered. Distinct rows of a group are
+    dealt by a hash of all their columns into ``SLOT_RUNS`` runs; a run is numbered in one window, and its start is the
+    sum of the counts before it. The table of starts has at most groups x SLOT_RUNS rows and is broadcast under that
+    bound. So neither a large group nor a row that is repeated without end meets in one task; the copies of a row are
+    put out again ``COPIES`` at a time.
     """
     from pyspark.sql import Window
 
-    runs = df.withColumn("__run", F.pmod(F.xxhash64(F.lit("run"), F.col(f"`{key}`")), F.lit(SLOT_RUNS)).cast("int"))
-    before = Window.partitionBy(group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.groupBy(group, "__run").agg(F.count("*").alias("__n")).select(
-        group, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    )
     if groups * SLOT_RUNS > 4_000_000:
         raise ValueError("too many groups to number with broadcast starts")
-    within = Window.partitionBy(group, "__run").orderBy(key, *order)
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count("*").alias("__n"))
+    runs = counted.withColumn("__run", F.pmod(F.xxhash64(F.lit("run"), *columns), F.lit(SLOT_RUNS)).cast("int"))
+    before = Window.partitionBy(group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.groupBy(group, "__run").agg(F.sum("__n").alias("__of")).select(
+        group, "__run", F.coalesce(F.sum("__of").over(before), F.lit(0)).alias("__start")
+    )
+    within = Window.partitionBy(group, "__run").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(starts), [group, "__run"])
+    first = F.col("__start") + F.col("__before")
+    last = first + F.col("__n") - 1
+    step = F.lit(COPIES).cast("long")
     return (
-        runs.withColumn("__at", F.row_number().over(within))
-        .join(F.broadcast(starts), [group, "__run"])
-        .withColumn(out, (F.col("__start") + F.col("__at") - 1).cast("long"))
-        .drop("__run", "__at", "__start")
+        placed.select(*columns, last.alias("__last"), F.explode(F.sequence(first, last, step)).alias("__from"))
+        .select(*columns, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + COPIES - 1, F.col("__last")))).alias(out))
     )
 
 
@@ -112,6 +120,6 @@ def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     rows = assign(assign(rows, "doc_id", standard_tree(shards), "shard"), "doc_id", standard_tree(shards + 1), "grown_shard")
-    return number_rows(rows, "shard", "doc_id", ["size", "text_crc32"], "slot", shards).select(
+    return number_rows(rows, "shard", "slot", shards).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
