@@ -9,6 +9,7 @@ factors are learned by Adam on the logistic loss. Only the fit uses a sample of
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from sylva.llm.common import bounded, sliced
+from sylva.llm.common import forget, sliced, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 6)
@@ -131,7 +133,8 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
     """A machine fitted to labelled rows outside the held-out fold.
 
     Labels that are null or not 0 or 1 are left out; of several labels of a document the largest counts; labels without
-    a document, and documents without a label, take no part. Without usable labels every score is the bias.
+    a document, and documents without a label, take no part. Of several texts under one doc_id the one with the smallest
+    hash counts, so at most ``max_rows`` texts are learned from. Without usable labels every score is the bias.
     """
     spark = documents.sparkSession
     own = (
@@ -143,8 +146,10 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
     sample = spark.createDataFrame([(r["id"], r["y"]) for r in own], "id long, y int")
     rows = (
         documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(sample), "id").select("y", "text")  # at most max_rows rows of 12 bytes
+        .join(F.broadcast(sample), "id")  # at most max_rows rows of 12 bytes
+        .groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("y", "text")
     )
+    rows = stored(rows, "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2_048):
@@ -169,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
         n * F.lit(expected * max(1 - expected, 1e-9)) * F.greatest(F.lit(float(total)) - n, F.lit(1.0))
     )
     picked = (
-        bounded(rows).mapInArrow(counted, "term long, n long, pos long")
+        rows.mapInArrow(counted, "term long, n long, pos long")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
         .where(n >= s.min_docs).select("term", chi2.alias("chi2")).where(F.col("chi2") >= s.min_chi2)
         .orderBy(F.desc("chi2"), "term").limit(s.max_terms).collect()
@@ -182,7 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Ma
             at = [sorted(index[t] for t in terms(x) if t in index) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
 
-    found = bounded(rows).mapInArrow(present, "y int, at array<int>").collect()
+    found = rows.mapInArrow(present, "y int, at array<int>").collect()
+    forget(rows)
     # Copies of one document count once, and the order of the rows does not matter.
     distinct = sorted({(r["y"], tuple(r["at"])) for r in found if r["at"]})
     clean = sum(1 for r in found if not r["at"] and not r["y"])
@@ -206,7 +212,7 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], names=["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(run, "doc_id long, score double").select(
+    return rows.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -217,15 +223,23 @@ def toxicity(documents: DataFrame, labels: DataFrame, s: Settings = Settings())
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``documents`` that score below the threshold, with their columns, scored in place."""
+    """The rows of ``documents`` that score below the threshold, with their columns, scored in place.
+
+    Texts of any type are read as strings; null and empty ones score like any text without known terms.
+    """
     machine = fit(documents, labels, s)
-    parts, names = (machine.index, machine.bias, machine.weights, machine.factors), documents.columns
-    at = names.index("text")
+    parts = (machine.index, machine.bias, machine.weights, machine.factors)
+
+    # A text column of another type is read through a string column of its own, which goes again after scoring.
+    plain = isinstance(documents.schema["text"].dataType, StringType)
+    rows = documents if plain else documents.select("*", F.col("text").cast("string").alias(f"text-{uuid.uuid4().hex}"))
+    at, width = documents.columns.index("text") if plain else len(documents.columns), len(documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*parts)
         for batch in batches:
             keep = [own.score(t) < THRESHOLD for part in sliced([batch]) for t in part.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:width], schema=pa.schema(list(kept.schema)[:width]))
 
-    return bounded(documents).mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, documents.schema)
