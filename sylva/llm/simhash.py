@@ -7,7 +7,7 @@ all pairs.
 
 The variants are shuffled by their leading bits: a fingerprint is sent once for each leading pattern that its variants
 have (some tens of rows instead of 2,081), and the trailing bits are varied where the pattern's rows meet. A pattern
-with too many rows is dealt again by more leading bits, down to whole variants, so no task holds a hot ball.
+whose rows have too many variants is dealt again by more leading bits, down to whole variants, so no task holds a hot ball.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm import nearcopies
-from sylva.llm.common import bounded, connected_components, sliced, stored
+from sylva.llm.common import connected_components, sliced, stored
 
 SEED, WORDS, BITS, HALF = 42, 4, 64, 2
-#: Fingerprints whose own leading bits fall in one pattern, on average; and rows of a pattern before it is dealt again.
-PER_PATTERN, HOT_PATTERN = 256, 30_000
+#: Fingerprints whose own leading bits fall in one pattern, on average; and variants that a pattern's rows may stand for
+#: before it is dealt again (some 50 bytes each in the task that sorts them).
+PER_PATTERN, HOT_VARIANTS = 256, 2_000_000
 STEP = 8
 
 
@@ -59,7 +60,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own], names=["doc_id", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(bits: int, flips: int) -> list[int]:
@@ -122,16 +123,24 @@ def _meet(bits: int):
     return run
 
 
-def ball_links(distinct: DataFrame, bits: int | None = None, hot: int = HOT_PATTERN) -> DataFrame:
+def _variants(bits: int) -> Column:
+    """Variants of the trailing bits that a row of a pattern of ``bits`` leading bits stands for."""
+    used = F.bit_count(_leading(F.col("fp"), bits).bitwiseXOR(F.col("pattern")))
+    counts = [sum(math.comb(BITS - bits, k) for k in range(left + 1)) for left in range(HALF, -1, -1)]
+    return F.element_at(F.array(*[F.lit(c) for c in counts]), used + 1).cast("long")
+
+
+def ball_links(distinct: DataFrame, bits: int | None = None, hot: int = HOT_VARIANTS) -> DataFrame:
     """Links (a, b) between the fingerprints of ``distinct(fp long)`` that connect all pairs within ``2 * HALF`` bits.
 
-    Each link is verified; pairs meeting in one variant are linked through the variant's smallest fingerprint.
+    Each link is verified; pairs meeting in one variant are linked through the variant's smallest fingerprint. A task
+    holds the variants of one pattern at a time, ``hot`` at most: patterns beyond it are dealt again by more bits.
     """
     if bits is None:
         bits = min(40, max(4, math.ceil(math.log2(max(1, distinct.count()) / PER_PATTERN + 1))))
     links, rows, had = None, _deal(distinct.select("fp", F.lit(0).cast("long").alias("pattern")), 0, bits), bits
     while True:
-        sizes = rows.groupBy("pattern").agg(F.count("*").alias("n"))
+        sizes = rows.groupBy("pattern").agg(F.sum(_variants(had)).alias("n"))
         most = sizes.agg(F.max("n")).first()[0] or 0
         calm = rows if most <= hot else rows.join(sizes.where(F.col("n") <= hot), "pattern").select("fp", "pattern")
         found = calm.groupBy("pattern").applyInArrow(_meet(had), "a long, b long")
