@@ -1,30 +1,19 @@
-"""What the operators share: table access, the shared folder, and connected components."""
+"""What the operators share: table access, small slices of Arrow batches, and the library's intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from sylva.shared import connected_components, forget, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Bytes of an Arrow batch on its way to Python. Spark's own default is 64 MB, twice per task and again in Python.
-BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+__all__ = ["connected_components", "forget", "shared_dir", "sliced", "stored", "table"]
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """``rows`` as they are, to be sent to Python in small batches; a session's own setting is left alone."""
-    conf = rows.sparkSession.conf
-    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
-        conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
-    return rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -32,67 +21,3 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset (tests) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is not None:
-            return current
-        found = f"file://{tempfile.mkdtemp(prefix='sylva-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends here and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node for each node of ``edges(a long, b long)``: columns node, component.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Minima are partial aggregates, joins are
-    equi-joins that AQE can split, and each round is written to the shared folder. Self-loops and repeats are harmless;
-    an edge with a null end is ignored; without edges the result is empty.
-    """
-
-    def linked(both: DataFrame) -> DataFrame:
-        return both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u")
-
-    links = stored(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "links",
-    )
-    previous = None
-    for _ in range(max_rounds):
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            linked(both).where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        )
-        small = linked(large)
-        links = stored(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "links",
-        )
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == previous:
-            break
-        previous = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.select(F.col("v").alias("node")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
-    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylva.llm import ann, hamming, linededup, packing, pieces, sharding, simhash, toxicity, urlfilter, warc
 from sylva.llm.common import table
+from sylva.session import tune
 
 
 def tokenizer(name: str) -> str:
@@ -59,7 +60,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pruned_graph, op2_simhash, op3_shard_tree, op4_temporal_list, op5_factorization_machine, op6_piece_prefix_table, op7_multi_index_hashing, op8_line_edit_join, op9_pack_sum_of_squares, op10_warc_round_trip)}
+    found = (
+        op1_pruned_graph, op2_simhash, op3_shard_tree, op4_temporal_list, op5_factorization_machine, op6_piece_prefix_table,
+        op7_multi_index_hashing, op8_line_edit_join, op9_pack_sum_of_squares, op10_warc_round_trip,
+    )
+    return {f.__name__: lambda spark, sf_dir, f=f: f(tune(spark), sf_dir) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
