@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,40 +37,68 @@ def dependency_score(df: DataFrame, attributes: list[str]) -> DataFrame:
     return out.agg(F.max("score").alias("score"))
 
 
-def redundancy(df: DataFrame, tau: float = 1.0, null_threshold: float = 0.8, max_attributes: int = 12) -> DataFrame:
+#: Attribute sets that one pass over the counts scores.
+SETS_PER_PASS = 64
+
+
+def _scored(counts: DataFrame, columns: list[str], sets: list[frozenset[str]]) -> dict[frozenset[str], tuple[float, bool]]:
+    """Per attribute set its dependency score, and whether some combination without a null stands in several rows."""
+    out = {}
+    present = [(F.shiftright(F.col("__g").cast("long"), len(columns) - 1 - i).bitwiseAND(1) == 0) for i in range(len(columns))]
+    for k in range(0, len(sets), SETS_PER_PASS):
+        chunk = sets[k : k + SETS_PER_PASS]
+        grouped = counts.groupingSets([[F.col(c) for c in columns if c in own] for own in chunk], *columns).agg(
+            F.sum("__n").alias("__s"), F.grouping_id().alias("__g"))
+        null_in = F.lit(False)
+        for c, there in zip(columns, present, strict=True):
+            null_in = null_in | (there & F.col(c).isNull())
+        # One row per attribute of the set: the combination of the others determines it.
+        parts = [
+            F.when(there, F.struct(F.lit(i).alias("a"), F.struct(*[
+                (F.lit(None).cast(counts.schema[c].dataType) if c == own else F.col(c)).alias(f"v{j}") for j, c in enumerate(columns)
+            ]).alias("rest")))
+            for i, (own, there) in enumerate(zip(columns, present, strict=True))
+        ]
+        rows = grouped.select("__g", "__s", F.when(~null_in, F.col("__s")).alias("__r"), F.explode(F.array_compact(F.array(*parts))).alias("p"))
+        best = rows.groupBy("__g", "p.a", "p.rest").agg(F.max("__s").alias("m"), F.sum("__s").alias("t"), F.max("__r").alias("r"))
+        found = best.groupBy("__g", "a").agg((F.sum("m") / F.sum("t")).alias("c"), F.max("r").alias("r")).groupBy("__g").agg(
+            F.max("c").alias("c"), F.max("r").alias("r"))
+        for r in found.collect():  # one row per set
+            own = frozenset(c for i, c in enumerate(columns) if not r["__g"] >> (len(columns) - 1 - i) & 1)
+            out[own] = (r["c"], (r["r"] or 0) > 1)
+    return out
+
+
+def redundancy(df: DataFrame, tau: float = 1.0, null_threshold: float = 0.8) -> DataFrame:
     """One row: the share of rows that repeat another row on a set of attributes which depend on each other.
 
-    All sets of two attributes or more count whose dependency score is at least ``tau``. The sets' scores come from one
-    scan: rows are counted per combination once, and every set is an aggregate over these counts. A row is flagged if it
-    has no null on the set and another row agrees with it there. ``max_attributes`` bounds the number of sets; wider
-    tables are refused rather than cut.
+    All sets of two attributes or more count whose dependency score is at least ``tau``; a row is flagged if it has no
+    null on the set and another row agrees with it there. Sets are tried level by level. Scores only rise with more
+    attributes and repeats only vanish, so a set that counts makes its supersets needless, and one without repeats can
+    flag nothing, nor can its supersets: both are left out of the next level, at any number of attributes and without
+    another result. Rows are counted per combination once; a level scores its sets by grouping sets over these counts.
     """
     nulls = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     if not nulls["__n"]:
         return df.sparkSession.createDataFrame([(0.0,)], "redundancy double")
     columns = [c for c in df.columns if nulls[c] / nulls["__n"] <= null_threshold]
-    if len(columns) > max_attributes:
-        raise ValueError(f"{len(columns)} attributes have too many subsets; choose at most {max_attributes}")
-    counts = df.groupBy(*columns).agg(F.count("*").alias("__n"))
-    scores = []
-    for k in range(2, len(columns) + 1):
-        for own in combinations(columns, k):
-            grouped = counts.groupBy(*own).agg(F.sum("__n").alias("__s"))
-            for a in own:
-                best = grouped.groupBy(*[x for x in own if x != a]).agg(F.max("__s").alias("m"), F.sum("__s").alias("t"))
-                scores.append(best.agg((F.sum("m") / F.sum("t")).alias("c")).select(F.lit(",".join(own)).alias("own"), "c"))
-    if not scores:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([(0.0,)], "redundancy double")
-    out = scores[0]
-    for s in scores[1:]:
-        out = out.union(s)
-    kept = [r["own"].split(",") for r in out.groupBy("own").agg(F.max("c").alias("c")).where(F.col("c") >= tau - 1e-12).collect()]
+    counts = df.groupBy(*columns).agg(F.count("*").alias("__n"))
+    level = [frozenset(p) for p in combinations(columns, 2)]
+    kept: list[frozenset[str]] = []
+    while level:
+        scores = _scored(counts, columns, level)
+        kept += [s for s in level if scores[s][1] and scores[s][0] >= tau - 1e-12]
+        open_sets = {s for s in level if scores[s][1] and scores[s][0] < tau - 1e-12}
+        wider = {s | {c} for s in open_sets for c in columns if c not in s}
+        level = sorted((s for s in wider if all(s - {c} in open_sets for c in s)), key=sorted)
     flag = F.lit(False)
     for own in kept:
         whole = F.lit(True)
         for c in own:
             whole = whole & F.col(c).isNotNull()
-        flag = flag | (whole & (F.sum("__n").over(Window.partitionBy(*own)) > 1))
+        flag = flag | (whole & (F.sum("__n").over(Window.partitionBy(*sorted(own))) > 1))
     flagged = counts.withColumn("__f", flag)
     return flagged.agg((F.sum(F.when(F.col("__f"), F.col("__n")).otherwise(0)) / F.sum("__n")).alias("redundancy"))
 
@@ -105,32 +132,50 @@ def completeness(table: DataFrame) -> DataFrame:
     return h.join(c).select(F.when(F.col("h") < 1e-12, F.lit(1.0)).otherwise(1 - F.col("c") / F.col("h")).alias("completeness"))
 
 
-def adjusted_mutual_information(table: DataFrame) -> float:
-    """AMI (arithmetic mean) from a contingency table.
+def _log_factorial(x: Column) -> Column:
+    """ln(x!) by Stirling's series from x + 8 on, which is exact to some 1e-15."""
+    z = x.cast("double") + 9
+    series = (z - 0.5) * F.ln(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    product = F.lit(1.0)
+    for k in range(1, 9):
+        product = product * (x.cast("double") + k)
+    return series - F.ln(product)
+
 
-    The expected value depends only on how many clusters have which size, so sums run over distinct sizes.
+def adjusted_mutual_information(table: DataFrame) -> DataFrame:
+    """One row: AMI (arithmetic mean) from a contingency table; 1 for equal trivial clusterings and for no entities.
+
+    The expected value depends only on how many clusters have which size, so its sums run over distinct pairs of sizes
+    and the sizes of their overlap, as rows. An overlap's distribution is hypergeometric; beyond ``sqrt(30 min(a, b))``
+    from its mean are at most 2 exp(-60) of it (Hoeffding), so only overlaps that near are summed.
     """
-    rows = table.select("x", "y", "n")
+    rows = table.select("x", "y", F.col("n").cast("double").alias("n"))
     by_x, by_y = rows.groupBy("x").agg(F.sum("n").alias("nx")), rows.groupBy("y").agg(F.sum("n").alias("ny"))
-    cells = rows.join(by_x, "x").join(by_y, "y").groupBy("n", "nx", "ny").agg(F.count("*").alias("k")).collect()
-    sizes_x = {r["nx"]: r["k"] for r in by_x.groupBy("nx").agg(F.count("*").alias("k")).collect()}
-    sizes_y = {r["ny"]: r["k"] for r in by_y.groupBy("ny").agg(F.count("*").alias("k")).collect()}
-    total = sum(k * s for s, k in sizes_x.items())
-    if not total or (sum(sizes_x.values()) == 1 and sum(sizes_y.values()) == 1) or (
-            sum(sizes_x.values()) == total and sum(sizes_y.values()) == total):
-        return 1.0
-    mi = sum(r["k"] * r["n"] / total * math.log(total * r["n"] / (r["nx"] * r["ny"])) for r in cells)
-    entropy = [-sum(k * s / total * math.log(s / total) for s, k in sizes.items()) for sizes in (sizes_x, sizes_y)]
-    lg = math.lgamma
-    expected = 0.0
-    for a, ka in sizes_x.items():
-        for b, kb in sizes_y.items():
-            for n in range(max(1, a + b - total), min(a, b) + 1):
-                log_p = (lg(a + 1) + lg(b + 1) + lg(total - a + 1) + lg(total - b + 1) - lg(total + 1) - lg(n + 1)
-                         - lg(a - n + 1) - lg(b - n + 1) - lg(total - a - b + n + 1))
-                expected += ka * kb * n / total * math.log(total * n / (a * b)) * math.exp(log_p)
-    spread = sum(entropy) / 2 - expected
-    return 1.0 if abs(spread) < 1e-15 else (mi - expected) / spread
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("t"))
+
+    def entropy(sizes: DataFrame, n: str, name: str) -> DataFrame:
+        return sizes.join(total).agg(
+            F.coalesce(-F.sum(F.col(n) / F.col("t") * F.ln(F.col(n) / F.col("t"))), F.lit(0.0)).alias(f"h{name}"),
+            F.count("*").alias(f"k{name}"))
+
+    mi = rows.join(by_x, "x").join(by_y, "y").join(total).agg(F.coalesce(
+        F.sum(F.col("n") / F.col("t") * F.ln(F.col("t") * F.col("n") / (F.col("nx") * F.col("ny")))), F.lit(0.0)).alias("mi"))
+    sizes_x = by_x.groupBy(F.col("nx").alias("a")).agg(F.count("*").alias("ka"))
+    sizes_y = by_y.groupBy(F.col("ny").alias("b")).agg(F.count("*").alias("kb"))
+    a, b, t, k = F.col("a"), F.col("b"), F.col("t"), F.col("k")
+    mean, reach = a * b / t, F.sqrt(30 * F.least(a, b)) + 1
+    low = F.greatest(F.lit(1.0), a + b - t, F.floor(mean - reach)).cast("long")
+    high = F.least(a, b, F.ceil(mean + reach)).cast("long")
+    f = _log_factorial
+    log_p = f(a) + f(b) + f(t - a) + f(t - b) - f(t) - f(k) - f(a - k) - f(b - k) - f(t - a - b + k)
+    pairs = sizes_x.join(sizes_y).join(total).select("*", low.alias("low"), high.alias("high")).where("low <= high")  # pairs of sizes
+    expected = pairs.withColumn("k", F.explode(F.sequence("low", "high"))).agg(F.coalesce(
+        F.sum(F.col("ka") * F.col("kb") * k / t * F.ln(t * k / (a * b)) * F.exp(log_p)), F.lit(0.0)).alias("e"))
+    parts = mi.join(expected).join(entropy(by_x, "nx", "x")).join(entropy(by_y, "ny", "y")).join(total)
+    spread = (F.col("hx") + F.col("hy")) / 2 - F.col("e")
+    trivial = ((F.col("kx") == 1) & (F.col("ky") == 1)) | ((F.col("kx") == F.col("t")) & (F.col("ky") == F.col("t")))
+    return parts.select(
+        F.when((F.col("t") == 0) | trivial | (F.abs(spread) < 1e-15), F.lit(1.0)).otherwise((F.col("mi") - F.col("e")) / spread).alias("ami"))
 
 
 def type_statistics(nodes: DataFrame) -> DataFrame:

@@ -17,12 +17,9 @@ def schema_metrics(own: schema.Schema) -> dict[str, float]:
     }
 
 
-def redundancy(nodes: DataFrame, own: schema.Schema, tau: float, max_attributes: int = 8) -> float | None:
-    """Mean redundancy of the groups' tables; None where no group has a table of two to ``max_attributes`` attributes."""
-    scores = [
-        quality.redundancy(table, tau, max_attributes=max_attributes).first()[0]
-        for name, table in schema.datasets(nodes, own).items() if 2 <= len(own.groups[name]) <= max_attributes
-    ]
+def redundancy(nodes: DataFrame, own: schema.Schema, tau: float) -> float | None:
+    """Mean redundancy of the groups' tables; None where no group has two attributes or more."""
+    scores = [quality.redundancy(table, tau).first()[0] for name, table in schema.datasets(nodes, own).items() if len(own.groups[name]) >= 2]
     return sum(scores) / len(scores) if scores else None
 
 
@@ -40,7 +37,7 @@ def compare(source: DataFrame, current: DataFrame, taus: tuple[float, ...] = RED
         a = cluster.entity_clusters(source, cluster.clusters(source))
         b = cluster.entity_clusters(current, cluster.clusters(current))
         table = quality.contingency(a, b)
-        out["cluster_ami"] = quality.adjusted_mutual_information(table)
+        out["cluster_ami"] = quality.adjusted_mutual_information(table).first()[0]
         out["cluster_completeness"] = (quality.completeness(table).first() or [None])[0]
     for tau in taus:
         out[f"redundancy_{tau:g}"] = redundancy(current, after, tau)
