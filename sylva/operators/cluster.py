@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import METRICS, context_similarity
 from sylva.operators import forest
+from sylva.shared import connected_components, stored
 
 
 def candidates(nodes: DataFrame, max_height: int = 5, depth: int = 5) -> DataFrame:
@@ -52,47 +53,31 @@ def similar_pairs(signatures: DataFrame, tau: float, metric: str = "jaro", decay
     return met.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= tau)
 
 
-def components(edges: DataFrame) -> dict[int, int]:
-    """Smallest reachable signature of each: edges are few, as there is one vertex per distinct structure of a schema."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for r in edges.select("a", "b").toLocalIterator():
-        x, y = find(r["a"]), find(r["b"])
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return {x: find(x) for x in parent}
-
-
 def clusters(nodes: DataFrame, tau: float = 0.7, metric: str = "jaro", decay: float = 2.0, min_size: int = 2,
-             max_height: int = 5, max_signatures: int = 200_000) -> DataFrame:
-    """Members of clusters: cluster, tree_id, pos, oid, name, n_entities, entity_labels, probability, rank.
+             max_height: int = 5, weights: DataFrame | None = None) -> DataFrame:
+    """Members of clusters: cluster, size, tree_id, pos, oid, name, n_entities, entity_labels, ctx, weight, probability, rank.
 
     A cluster is named after the most common typed label of its members and a number; clusters below ``min_size`` members
-    are noise. Subtrees without entities are similar to none. ``max_signatures`` bounds the distinct structures that the
-    driver joins up; beyond it the forest has no common structure to find, and that is an error, not a cut.
+    are noise. Subtrees without entities are similar to none. ``weights(tree_id, n)`` says of how many trees each one
+    stands for; by default every tree is one. Only distinct structures are compared, and their links are joined up
+    in rounds of equi-joins, so nothing is gathered on the driver.
     """
-    found = with_signature(candidates(nodes, max_height))
-    signatures = found.groupBy("sig").agg(F.first("ctx").alias("ctx"), F.count("*").alias("n"))
-    if signatures.count() > max_signatures:
-        raise ValueError("too many distinct structures to cluster")
-    spark = nodes.sparkSession
-    parts = components(similar_pairs(signatures.select("sig", "ctx"), tau, metric, decay))
-    table = spark.createDataFrame(list(parts.items()) or [(0, 0)], "sig long, comp long")
-    members = found.join(table, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = members.groupBy("comp").agg(
-        F.count("*").alias("size"), F.mode(F.when(F.col("type").isNotNull(), F.col("name")), True).alias("base"),
-    ).where(F.col("size") >= min_size)
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "comp"))  # one row per cluster
-    labels = named.withColumn("cluster", F.concat_ws("_", "base", number.cast("string"))).select("comp", "cluster", "size")
+    found = candidates(nodes, max_height)
+    found = found.withColumn("weight", F.lit(1).cast("long")) if weights is None else found.join(
+        weights.select("tree_id", F.col("n").cast("long").alias("weight")), "tree_id")
+    found = stored(with_signature(found), "subtrees")
+    signatures = found.groupBy("sig").agg(F.first("ctx").alias("ctx"))
+    parts = connected_components(similar_pairs(signatures, tau, metric, decay))
+    members = found.join(parts, found["sig"] == parts["node"], "left").withColumn("comp", F.coalesce("component", "sig")).drop("node", "component")
+    typed = members.where("type IS NOT NULL").groupBy("comp", "name").agg(F.sum("weight").alias("w"))
+    bases = typed.groupBy("comp").agg(F.min(F.struct(-F.col("w"), F.col("name").alias("name"))).alias("m")).select("comp", F.col("m.name").alias("base"))
+    sizes = members.groupBy("comp").agg(F.sum("weight").alias("size")).where(F.col("size") >= min_size)
+    number = F.row_number().over(Window.orderBy(F.desc("size"), "comp"))  # one row per cluster of structures
+    labels = sizes.join(bases, "comp", "left").withColumn("cluster", F.concat_ws("_", "base", number.cast("string"))).select("comp", "cluster", "size")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("tree_id", "pos"))
     return members.join(labels, "comp").select(
-        "cluster", "size", "tree_id", "pos", "oid", "name", "n_entities", "entity_labels", "ctx", F.lit(1.0).alias("probability"), rank.alias("rank"))
+        "cluster", "size", "tree_id", "pos", "oid", "name", "n_entities", "entity_labels", "ctx", "weight",
+        F.lit(1.0).alias("probability"), rank.alias("rank"))
 
 
 def entity_clusters(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,14 @@
 """The fixed point of rewriting: cluster, form groups, apply the first operator that changes anything, again.
 
-Each round is one job over the forest whose trees are written to the shared folder, which ends the lineage. Clusters go
-to the tasks as supports and a few representatives per cluster.
+Each round is one job over the forest's distinct shapes, which are written to the shared folder, which ends the lineage.
+Clusters go to the tasks as supports and a few representatives per cluster.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from itertools import count
 
@@ -40,10 +43,93 @@ def equivalence(members: DataFrame, tau: float, metric: str, decay: float, top:
         {r["cluster"]: r["size"] for r in rows}, tau, metric, decay)
 
 
+def shape_of(tree: Node) -> tuple[str, str, list[str], list[tuple[str, str]]]:
+    """(id, tree, leaves, (oid, metadata) of its nodes) of a tree's shape: labels and order without values and ids.
+
+    In the shape a leaf is its number, and a node's oid is the shape's id with the node's number.
+    """
+    leaves: list[str] = []
+    nodes: list[tuple[str, str]] = []
+
+    def visit(n: Node | str) -> Node | str:
+        if isinstance(n, str):
+            leaves.append(n)
+            return str(len(leaves) - 1)
+        nodes.append((n.oid, json.dumps(n.metadata, sort_keys=True) if n.metadata else ""))
+        own = len(nodes) - 1
+        return Node(n.label, tuple(visit(c) for c in n.children), str(own))
+
+    plain = visit(tree)
+    key = hashlib.sha256(to_json(plain).encode()).hexdigest()[:32]
+
+    def named(n: Node | str) -> Node | str:
+        return n if isinstance(n, str) else Node(n.label, tuple(named(c) for c in n.children), f"{key}:{n.oid}")
+
+    return key, to_json(named(plain)), leaves, nodes
+
+
+def fill_in(shape: Node, key: str, tree_id: str, leaves: list[str], nodes: list[tuple[str, str]]) -> Node:
+    """A rewritten shape with one tree's values and ids; nodes that rewriting made get ids from the tree's."""
+
+    def visit(n: Node | str) -> Node | str:
+        if isinstance(n, str):
+            return leaves[int(n)]
+        kids = tuple(visit(c) for c in n.children)
+        owner, _, number = n.oid.partition(":")
+        if owner == key and number:
+            oid, metadata = nodes[int(number)]
+            return Node(n.label, kids, oid, json.loads(metadata) if metadata else {})
+        return Node(n.label, kids, str(uuid.uuid5(uuid.NAMESPACE_OID, f"{tree_id}/{n.oid}")))
+
+    return visit(shape)
+
+
+_PACKED = "tree_id string, shape string, tree string, leaves array<string>, nodes array<struct<oid:string,metadata:string>>"
+
+
+def packed(trees: DataFrame) -> DataFrame:
+    """tree_id, shape, the shape's tree, leaves and nodes of each of ``trees(tree_id, tree)``; narrow."""
+
+    def run(batches):
+        names = ["tree_id", "shape", "tree", "leaves", "nodes"]
+        pair = pa.list_(pa.struct([("oid", pa.string()), ("metadata", pa.string())]))
+        for batch in batches:
+            rows = [shape_of(from_json(t)) for t in batch.column("tree").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tree_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+                 pa.array([r[2] for r in rows], pa.list_(pa.string())),
+                 pa.array([[{"oid": o, "metadata": m} for o, m in r[3]] for r in rows], pair)], names=names)
+
+    return trees.select("tree_id", "tree").where("tree IS NOT NULL").mapInArrow(run, _PACKED)
+
+
+def shapes_of(rows: DataFrame) -> DataFrame:
+    """One row per shape of ``rows`` of :func:`packed`: shape, tree_id (the smallest), n trees, and the shape's tree."""
+    return rows.groupBy("shape").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("n"), F.first("tree").alias("tree"))
+
+
+def unpacked(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``rows`` of :func:`packed` with the trees that ``shapes(shape, new)`` have become; narrow after the join."""
+
+    def run(batches):
+        for batch in batches:
+            known: dict[str, Node] = {}
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("tree_id", "shape", "new", "leaves", "nodes")]
+            for tree_id, key, new, leaves, nodes in zip(*columns, strict=True):
+                shape = known.get(key) or known.setdefault(key, from_json(new))
+                out.append(to_json(fill_in(shape, key, tree_id, leaves, [(n["oid"], n["metadata"]) for n in nodes])))
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array(out, pa.string())], names=["tree_id", "tree"])
+
+    return rows.drop("tree").join(shapes.select("shape", "new"), "shape").mapInArrow(run, TREE_SCHEMA)
+
+
 def _form_groups(trees: DataFrame, members: DataFrame, min_support: int) -> DataFrame:
     """Trees with the members of clusters above ``min_support`` made groups: largest cluster first."""
+    w = F.col("weight")
     stats = members.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.avg("n_entities").alias("e"), F.avg(F.size("pos")).alias("d")).where(F.col("n") > min_support)
+        F.sum(w).alias("n"), (F.sum(w * F.col("n_entities")) / F.sum(w)).alias("e"), (F.sum(w * F.size("pos")) / F.sum(w)).alias("d")
+    ).where(F.col("n") > min_support)
     order = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("e"), F.desc("d"), "cluster"))  # one row per cluster
     ranked = stats.withColumn("order", order).select("cluster", "order")
     places = members.join(ranked, "cluster").groupBy("tree_id").agg(F.collect_list(F.struct("order", "cluster", "pos")).alias("places"))
@@ -64,17 +150,47 @@ def _form_groups(trees: DataFrame, members: DataFrame, min_support: int) -> Data
     return joined.mapInArrow(run, TREE_SCHEMA + ", changed boolean")
 
 
+def _first_changes(trees: DataFrame, operations: list[tuple[str, Operation]], known: rewrite.Equivalence, support: int) -> DataFrame:
+    """tree_id, tree, the first operator that changes it (null where none does) and what it makes of it; narrow."""
+
+    def run(batches):
+        for batch in batches:
+            first, news = [], []
+            for t in batch.column("tree").to_pylist():
+                tree, at, new = from_json(t), None, None
+                for i, (_, operation) in enumerate(operations):
+                    changed_tree, changed = operation(tree, known, support)
+                    if changed:
+                        at, new = i, to_json(changed_tree)
+                        break
+                first.append(at)
+                news.append(new)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tree_id"), batch.column("tree"), pa.array(first, pa.int32()), pa.array(news, pa.string())],
+                names=["tree_id", "tree", "first", "new"])
+
+    return trees.select("tree_id", "tree").mapInArrow(run, TREE_SCHEMA + ", first int, new string")
+
+
 def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int | None = 100, min_support: int | None = None,
              metric: str = "jaro", operations: list[tuple[str, Operation]] | None = None, names: bool = True) -> tuple[DataFrame, list[str]]:
     """``trees(tree_id, tree)`` rewritten to a fixed point, and the operator that made each round's change.
 
+    Rewriting looks at labels and order only, so it works on distinct shapes with the number of trees that each stands
+    for; values and ids are put back at the end. A round applies to each shape the first operator that would change it,
+    and keeps what the earliest of these operators did: that is one pass over the shapes, with the same outcome as
+    operator after operator over all of them.
+
     At most ``epochs`` rounds, or as many as it takes where that is None; then a forest that comes back to an earlier
     state has no fixed point, which is an error. ``min_support`` defaults to a tenth of the trees, 2 at least.
     """
     if not 0 <= tau <= 1 or decay <= 0:
         raise ValueError("tau must be between 0 and 1, decay above 0")
-    now = stored(trees.select("tree_id", "tree"), "forest")
-    support = min_support if min_support is not None else max(now.count() // 10, 2)
+    steps = operations or DEFAULT_OPERATIONS
+    source = stored(packed(trees), "forest")
+    shapes = stored(shapes_of(source), "shapes")
+    weights, now = shapes.select("tree_id", "n"), shapes.select("tree_id", "tree")
+    support = min_support if min_support is not None else max((shapes.agg(F.sum("n")).first()[0] or 0) // 10, 2)
     log: list[str] = []
     seen_states: set[tuple] = set()
     for _ in count() if epochs is None else range(epochs):
@@ -84,21 +200,19 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
                 raise RuntimeError("rewriting goes in circles")
             seen_states.add(state)
         now = stored(map_trees(now, lambda t: (reduce_all(t, frozenset({"ENT"})), True)).select("tree_id", "tree"), "forest")
-        members = cluster.clusters(trees_to_nodes(now), tau, metric, decay)
+        members = stored(cluster.clusters(trees_to_nodes(now), tau, metric, decay, weights=weights), "members")
         grouped = stored(_form_groups(now, members, support), "forest")
         formed = bool(grouped.where("changed").take(1))
-        now = grouped.select("tree_id", "tree")
         known = equivalence(members, tau, metric, decay)
-        for name, operation in operations or DEFAULT_OPERATIONS:
-            done = stored(map_trees(now, lambda t, f=operation: f(t, known, support)), "forest")
-            if done.where("changed").take(1):
-                now = done.select("tree_id", "tree")
-                log.append(name)
-                break
-        else:
-            if not formed:
-                break
+        done = stored(_first_changes(grouped, steps, known, support), "forest")
+        first = done.agg(F.min("first")).first()[0]
+        now = done.select("tree_id", F.when(F.col("first") == first, F.col("new")).otherwise(F.col("tree")).alias("tree"))
+        if first is not None:
+            log.append(steps[first][0])
+        elif formed:
             log.append("create_groups")
+        else:
+            break
     for last in (rewrite.find_relations, rewrite.find_collections):
         now = map_trees(now, lambda t, f=last: f(t, naming_only=True)).select("tree_id", "tree")
     now = stored(now, "forest")
@@ -106,4 +220,5 @@ def simplify(trees: DataFrame, tau: float = 0.7, decay: float = 2.0, epochs: int
         seen = trees_to_nodes(now).where("type = 'GROUP'").groupBy("name").agg(F.min(F.struct("tree_id", "pos")).alias("at"))
         new = rewrite.simplified_names([r["name"] for r in seen.orderBy("at").collect()])  # one row per group name
         now = stored(map_trees(now, lambda t: rewrite.rename(t, new)).select("tree_id", "tree"), "forest")
-    return now, log
+    by_shape = shapes.select("tree_id", "shape").join(now.select("tree_id", F.col("tree").alias("new")), "tree_id")
+    return stored(unpacked(source, by_shape), "forest"), log
