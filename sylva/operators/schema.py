@@ -132,7 +132,7 @@ def groups(nodes: DataFrame) -> DataFrame:
     """name and sorted entities, one row per group."""
     return productions(nodes, False).where(F.col("lhs").startswith("GROUP::")).select(
         F.substring_index("lhs", "GROUP::", -1).alias("name"),
-        F.array_sort(F.transform(F.filter("rhs", lambda c: c.startswith("ENT::")), lambda c: F.substring(c, 6, 10_000))).alias("entities"))
+        F.array_sort(F.transform(F.filter("rhs", lambda c: c.startswith("ENT::")), lambda c: F.substr(c, F.lit(6)))).alias("entities"))
 
 
 def relation_examples(nodes: DataFrame) -> DataFrame:

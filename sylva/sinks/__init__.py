@@ -59,14 +59,30 @@ def write_tables(tables: dict[str, DataFrame], write: Callable[[str, DataFrame],
 
 
 def export_vertices(nodes: DataFrame, collapsed: frozenset[str] = frozenset()) -> DataFrame:
-    """id, label and typed properties of each group record; collapsed groups become edges instead."""
-    own = nodes.where("type = 'GROUP'").where(~F.col("name").isin(*collapsed) if collapsed else F.lit(True))
-    ents = nodes.where("type = 'ENT'").select("tree_id", forest.parent_pos().alias("g"), F.col("pos").alias("e"), F.col("name").alias("key"))
-    words = nodes.where("kind = 'LEAF'").select("tree_id", forest.parent_pos().alias("e"), "value")
-    values = ents.join(words, ["tree_id", "e"]).select("tree_id", "g", F.struct(
-        "key", F.struct(F.col("value").alias("text"), typed_value(F.col("value")).alias("kind")).alias("value")).alias("p"))
-    rows = own.select("tree_id", F.col("pos").alias("g"), "oid", "name").join(values, ["tree_id", "g"], "left")
-    return rows.groupBy("oid", "name").agg(F.map_from_entries(F.array_distinct(F.collect_set("p"))).alias("props")).select(
+    """id, label and typed properties of each group record; collapsed groups become edges instead.
+
+    An entity's words are joined by spaces; of several entities of one label in a group the first counts, of several
+    records of one oid the first in the forest, as in tables. A group, its entities and their words meet under the
+    group's place, so node rows are shuffled once; what is gathered there is one record.
+    """
+    up = lambda k: F.slice("pos", F.lit(1), F.greatest(F.size("pos") - k, F.lit(0)))
+    is_group, is_entity, is_word = F.col("type") == "GROUP", F.col("type") == "ENT", F.col("kind") == "LEAF"
+    place = F.when(is_group, F.col("pos")).when(is_entity, up(1)).when(is_word & (F.size("pos") >= 2), up(2))
+    records = nodes.where(is_group | is_entity | is_word).withColumn("g", place).where("g IS NOT NULL").groupBy("tree_id", "g").agg(
+        F.max(F.when(is_group, F.struct("oid", "name"))).alias("own"),
+        F.array_sort(F.collect_list(F.when(is_entity, F.struct("pos", "name")))).alias("ents"),
+        F.array_sort(F.collect_list(F.when(is_word, F.struct("pos", "value")))).alias("words"),
+    ).where("own IS NOT NULL")
+    if collapsed:
+        records = records.where(~F.col("own.name").isin(*collapsed))
+    words_of = lambda e: F.array_join(F.transform(F.filter(
+        "words", lambda w: F.slice(w["pos"], F.lit(1), F.size(w["pos"]) - 1) == e["pos"]), lambda w: w["value"]), " ")
+    keys = F.array_distinct(F.transform("ents", lambda e: e["name"]))
+    texts = F.transform(keys, lambda k: F.struct(k.alias("key"), words_of(F.filter("ents", lambda e: e["name"] == k)[0]).alias("text")))
+    entries = F.transform(F.filter(texts, lambda t: t["text"] != ""), lambda t: F.struct(
+        t["key"].alias("key"), F.struct(t["text"].alias("text"), typed_value(t["text"]).alias("kind")).alias("value")))
+    props = records.select("own.oid", "own.name", F.struct("tree_id", "g").alias("at"), F.map_from_entries(entries).alias("props"))
+    return props.groupBy("oid", "name").agg(F.min_by("props", "at").alias("props")).select(
         F.col("oid").alias("id"), F.col("name").alias("label"), "props")
 
 

@@ -21,12 +21,18 @@ def plain_ascii(text: str) -> str:
 
 
 def split_sentences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, idx, sentence, and the sentence's character range [begin, end] in the text; one sentence per line."""
-    lines = documents.select(F.col(id_column), F.split(F.coalesce(F.col(text_column), F.lit("")), "\n").alias("lines"))
-    rows = lines.select(id_column, F.posexplode("lines").alias("idx", "sentence"))
-    before = Window.partitionBy(id_column).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.char_length("sentence") + 1).over(before), F.lit(0)).cast("int")
-    return rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.char_length("sentence"))
+    """id, idx, sentence, and the sentence's character range [begin, end] in the text; one sentence per line.
+
+    The ranges come from the row itself, so nothing is shuffled, and rows with repeated or null ids stay apart.
+    """
+    lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")
+    none = F.array().cast("array<struct<sentence:string,begin:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    found = F.aggregate(lines, start, lambda a, line: F.struct(
+        (a["at"] + F.char_length(line) + 1).alias("at"),
+        F.concat(a["found"], F.array(F.struct(line.alias("sentence"), a["at"].alias("begin")))).alias("found")))["found"]
+    rows = documents.select(F.col(id_column), F.posexplode(found).alias("idx", "s"))
+    return rows.select(id_column, "idx", "s.sentence", "s.begin", (F.col("s.begin") + F.char_length("s.sentence")).alias("end"))
 
 
 def assign_entities(entities: DataFrame, sentences: DataFrame, id_column: str = "doc_id") -> DataFrame:
