@@ -11,6 +11,7 @@ from sylva import functions as fn
 from sylva import sinks
 from sylva.model import trees_to_nodes
 from sylva.operators import cluster, forest, quality, schema, simplify
+from sylva.shared import stored
 from sylva.sources import documents as docs
 from sylva.sources import graph, lines, text
 from sylva.sources import relational as rel
@@ -305,13 +306,13 @@ def collapsible_groups(spark, folder):
     return schema.collapsible(schema_relation_orientation(spark, folder))
 
 
-def _nation_segments(spark, folder, whole: bool = False) -> DataFrame:
+def _nation_segments(spark, folder) -> DataFrame:
+    """Groups of unequal sizes: the nations' pairs of segment and hundreds of the balance, over all customers."""
     c = _table(spark, folder, "customer")
-    c = c if whole else c.where("c_acctbal > 9000")
-    return c.groupBy(F.col("c_nationkey").cast("string").alias("name")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("entities"))
+    return c.groupBy(F.col("c_nationkey").cast("string").alias("name")).agg(F.array_sort(F.collect_set(F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 100).cast("string")))).alias("entities"))
 
 
-_SEGMENTS = "WITH g AS (SELECT c_nationkey::VARCHAR AS name, list_sort(list(DISTINCT c_mktsegment)) AS e FROM customer WHERE c_acctbal > 9000 GROUP BY 1) "
+_SEGMENTS = "WITH g AS (SELECT c_nationkey::VARCHAR AS name, list_sort(list(DISTINCT c_mktsegment || floor(c_acctbal / 100)::BIGINT::VARCHAR)) AS e FROM customer GROUP BY 1) "
 
 
 @query(_SEGMENTS + """SELECT round(coalesce(avg(len(list_intersect(a.e, b.e)) / len(list_distinct(list_concat(a.e, b.e)))::DOUBLE), 0), 9)::DOUBLE AS overlap FROM g a JOIN g b ON a.name < b.name""")
@@ -324,19 +325,6 @@ def group_balance(spark, folder):
     return schema.balance(_nation_segments(spark, folder)).select(F.round("balance", 9).alias("balance"))
 
 
-_WHOLE_SEGMENTS = _SEGMENTS.replace(" WHERE c_acctbal > 9000", "")
-
-
-@query(_ORACLES["group_overlap"].replace(_SEGMENTS, _WHOLE_SEGMENTS))
-def group_overlap_whole(spark, folder):
-    return schema.overlap(_nation_segments(spark, folder, whole=True)).select(F.round("overlap", 9).alias("overlap"))
-
-
-@query(_ORACLES["group_balance"].replace(_SEGMENTS, _WHOLE_SEGMENTS))
-def group_balance_whole(spark, folder):
-    return schema.balance(_nation_segments(spark, folder, whole=True)).select(F.round("balance", 9).alias("balance"))
-
-
 @query(_label_counts_sql("customer", leave_out=("region",)))
 def valid_trees(spark, folder):
     """The forest under a schema without regions: their nodes go, entities of dropped groups at the root too."""
@@ -407,11 +395,18 @@ def cluster_completeness(spark, folder):
     return quality.completeness(table).select(F.round("completeness", 9).alias("completeness"))
 
 
-@query()
+@query("""WITH t AS (SELECT c_nationkey AS x, c_mktsegment AS y, count(*)::DOUBLE AS n FROM customer GROUP BY ALL), s AS (SELECT sum(n) AS t FROM t),
+x AS (SELECT x, sum(n) AS nx FROM t GROUP BY x), y AS (SELECT y, sum(n) AS ny FROM t GROUP BY y),
+mi AS (SELECT sum(n / t * ln(t * n / (nx * ny))) AS mi FROM t JOIN x USING (x) JOIN y USING (y), s),
+h AS (SELECT (SELECT -sum(nx / t * ln(nx / t)) FROM x, s) AS hx, (SELECT -sum(ny / t * ln(ny / t)) FROM y, s) AS hy),
+k AS (SELECT nx AS a, ny AS b, t, unnest(range(greatest(1, nx + ny - t)::BIGINT, least(nx, ny)::BIGINT + 1)) AS k FROM x, y, s),
+e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1)
+  - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS e FROM k)
+SELECT round((mi - e) / ((hx + hy) / 2 - e), 6)::DOUBLE AS ami FROM mi, h, e""")
 def cluster_mutual_information(spark, folder):
     c = _table(spark, folder, "customer")
     table = quality.contingency(c.select(F.col("c_custkey").alias("oid"), F.col("c_nationkey").alias("cluster")), c.select(F.col("c_custkey").alias("oid"), F.col("c_mktsegment").alias("cluster")))
-    return spark.createDataFrame([(round(quality.adjusted_mutual_information(table), 9),)], "ami double")
+    return quality.adjusted_mutual_information(table).select(F.round("ami", 6).alias("ami"))
 
 
 @query("SELECT type, sum(count)::BIGINT AS n_nodes, count(*)::BIGINT AS n_labels, round(sum(count) / count(*)::DOUBLE, 6)::DOUBLE AS ratio FROM (" + _label_counts_sql("customer") + ") GROUP BY type")
@@ -422,17 +417,15 @@ def type_statistics(spark, folder):
 # --- similarity and clustering --------------------------------------------------------------------------------------------
 
 
-def _brand_types(spark, folder, whole: bool = False) -> DataFrame:
-    p = _table(spark, folder, "part")
-    p = p if whole else p.where("p_size <= 3")
-    return p.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("labels"))
+def _brand_types(spark, folder) -> DataFrame:
+    return _table(spark, folder, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("labels"))
 
 
-_BRANDS = "WITH g AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS e FROM part WHERE p_size <= 3 GROUP BY 1), p AS (SELECT a.p_brand AS a, b.p_brand AS b, a.e AS x, b.e AS y FROM g a JOIN g b ON a.p_brand < b.p_brand), m AS (SELECT *, len(list_intersect(x, y)) AS i FROM p) "
+_BRANDS = "WITH g AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS e FROM part GROUP BY 1), p AS (SELECT a.p_brand AS a, b.p_brand AS b, a.e AS x, b.e AS y FROM g a JOIN g b ON a.p_brand < b.p_brand), m AS (SELECT *, len(list_intersect(x, y)) AS i FROM p) "
 
 
-def _similarities(spark, folder, metric, whole: bool = False) -> DataFrame:
-    g = _brand_types(spark, folder, whole)
+def _similarities(spark, folder, metric) -> DataFrame:
+    g = _brand_types(spark, folder)
     a, b = (g.select(F.col("p_brand").alias(s), F.col("labels").alias(f"l{s}")) for s in "ab")
     keyed_a, keyed_b = a.withColumn("key", F.explode("la")), b.withColumn("key", F.explode("lb"))
     met = keyed_a.join(keyed_b, "key").where("a < b").select("a", "b", "la", "lb").distinct()
@@ -457,15 +450,6 @@ def label_similarity_jaro_winkler(spark, folder):
     return _similarities(spark, folder, fn.jaro_winkler)
 
 
-for _name, _metric in (("jaccard", fn.jaccard), ("dice", fn.dice), ("jaro_winkler", fn.jaro_winkler)):
-    query(_ORACLES[f"label_similarity_{_name}"].replace(" WHERE p_size <= 3", ""), f"label_similarity_{_name}_whole")(
-        lambda spark, folder, m=_metric: _similarities(spark, folder, m, whole=True))
-
-
-def _raw_conversations(spark, folder) -> DataFrame:
-    return docs.read_documents(_conversation_documents(spark, folder).where("conv_id < 40"), "conv_id", "json", "conversation", raw=True)
-
-
 def _event_trees(spark, folder) -> DataFrame:
     e = _table(spark, folder, "events")
     body = F.to_json(F.struct(F.struct("user_id", "event_type").alias("who"), F.struct("value", "ts").alias("what")))
@@ -474,8 +458,10 @@ def _event_trees(spark, folder) -> DataFrame:
 
 @query()
 def subtree_clusters(spark, folder):
-    found = cluster.clusters(trees_to_nodes(_event_trees(spark, folder)))
-    return found.groupBy("cluster").agg(F.count("*").alias("members"), F.max("n_entities").alias("entities"))
+    """Clusters of all events' subtrees: distinct shapes are compared, each with the number of its trees."""
+    shapes = stored(simplify.shapes_of(simplify.packed(_event_trees(spark, folder))), "shapes")
+    found = cluster.clusters(trees_to_nodes(shapes), weights=shapes)
+    return found.groupBy("cluster").agg(F.sum("weight").alias("members"), F.max("n_entities").alias("entities"))
 
 
 @query()
