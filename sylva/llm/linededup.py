@@ -3,187 +3,285 @@
 A line is cut into ``max_edits + 1`` segments. Two lines within ``max_edits`` share a segment of the shorter one, at a
 place that its number and the lengths' difference confine to a few positions. So each distinct line is indexed under
 (its length, segment number, segment), and probes the indexes of its own and the next shorter lengths with the substrings
-at those positions only. Pairs that meet are verified on their texts by a banded edit distance.
+at those positions only. Pairs that meet are verified on their texts by a banded bit-parallel edit distance.
 
 Keys are 64-bit hashes, so lines' texts move once, and only those of lines that met another (and what shares a bit of
-their hash filter). A segment that more than ``hot`` distinct lines share is not paired up: for one edit, its lines are
-dealt again by what is left when one character is deleted. Lines that agree in that and the place are one substitution
-apart, so each is linked to the smallest only; a line that equals another less one character is linked to it.
+their hash filter). A segment that more than ``hot`` distinct lines share is not paired up: what is left of these lines
+without it is cut into ``max_edits + 1`` segments in turn, and so on until few lines agree in all that was taken out. So
+the method is one at all sizes. Where nothing is left to cut, lines differ in ``max_edits`` characters at one place at
+most, and a link of each to the smallest connects them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import connected_components, stored
+from sylva.llm.common import connected_components, forget, stored
 
+#: Lines shorter than this are in one class with their equals only.
 MIN_CHARS, MAX_EDITS, HOT = 24, 1, 32
 #: Hash values of the filter in front of the texts' shuffle: it is broadcast and never has more rows than this.
 FILTER_VALUES = 1 << 20
 
 
-def document_lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0) and line of every line of ``min_chars`` characters or more, outer spaces aside."""
+def document_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no (from 0) and line of every line that is not empty, outer spaces aside."""
+    text = F.col("text").cast("string")
     return (
         documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+            F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
         )
-        .select("doc_id", "line_no", F.trim("line").alias("line"))
-        .where(F.char_length("line") >= min_chars)
+        .select("doc_id", "text_hash", "line_no", F.trim("line").alias("line"))
+        .where("line <> ''")
     )
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), F.col("line")))
+def _hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of a line of ``length``; the last ones take what does not divide."""
     base = F.floor(length / parts).cast("int")
-    longer = (length - base * parts).cast("int")
-    first_longer = F.lit(parts) - longer
-    start = base * (number - 1) + F.greatest(F.lit(0), F.lit(number - 1) - first_longer)
-    return start, base + F.when(F.lit(number) > first_longer, 1).otherwise(0)
+    first_longer = F.lit(parts) - (length - base * parts).cast("int")
+    start = base * (number - 1) + F.greatest(F.lit(0), number - 1 - first_longer)
+    return start.cast("int"), (base + F.when(number > first_longer, 1).otherwise(0)).cast("int")
+
 
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, number, shift): a line probes the segment ``number`` of lines that are ``gap`` shorter, ``shift`` further on.
 
-def _keys(line: Column, length: Column, edits: int) -> list[tuple[bool, Column]]:
-    """(whether an index key, key) of a line: its own segments, and substrings that probe other lines' segments."""
+    No edit before the segment means no shift, and each edit accounts for one at most, on either side.
+    """
     parts, out = edits + 1, []
     for gap in range(edits + 1):
-        other = length - gap
         for number in range(1, parts + 1):
-            start, size = _segment(other, number, parts)
-            low = max(-(number - 1), gap - (parts - number))
-            high = min(number - 1, gap + (parts - number))
-            for shift in range(low, high + 1):
-                at = start + shift
-                key = F.xxhash64(other, F.lit(number), F.substr(line, at + 1, size))
-                key = F.when((at >= 0) & (at + size <= length), key)
-                out.append((gap == 0 and shift == 0, key))
+            low, high = max(-(number - 1), gap - (parts - number)), min(number - 1, gap + (parts - number))
+            out += [(gap, number, shift) for shift in range(low, high + 1)]
     return out
 
 
-def _met(keyed: DataFrame, edits: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of lines that meet in a key, and the lines of hot keys (None where all keys are paired)."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned")
-    calm = counts.where(F.col("n") <= hot) if edits == 1 else counts
-    rows = keyed.join(calm.select("key"), "key")
-    a = rows.where("own").select("key", F.col("h1").alias("a"))
-    b = rows.select("key", F.col("h1").alias("b"), F.col("own").alias("b_own"))
-    pairs = a.join(b, "key").where("(b_own AND a < b) OR (NOT b_own AND a <> b)")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if edits != 1:
-        return pairs, None
-    busy = counts.where(F.col("n") > hot).select("key")
-    return pairs, keyed.join(busy, "key").select("h1").distinct()
+def _keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """A key for each of ``_places``; those without gap and shift are the line's index keys."""
+    out = []
+    for gap, number, shift in _places(edits):
+        start, size = _segment(length - gap, F.lit(number), edits + 1)
+        at = start + shift
+        key = F.xxhash64(length - gap, F.lit(number), F.substr(line, at + 1, size))
+        out.append(F.when((at >= 0) & (at + size <= length), key))
+    return out
 
 
-def _one_deletion(texts: DataFrame) -> DataFrame:
-    """Links that connect all pairs of ``texts(h1, line)`` within one edit, without pairing a group up."""
-    line, size = F.col("line"), F.char_length("line")
-    less = texts.select(
-        "h1", F.posexplode(F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda p: F.xxhash64(F.concat(F.substr(line, F.lit(1), p), F.substr(line, p + 2))),
-        )).alias("at", "rest"),
+def _without(text: Column, at: Column, size: Column) -> Column:
+    return F.concat(F.substr(text, F.lit(1), at), F.substr(text, at + size + 1))
+
+
+def _paired(rows: DataFrame, node: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of ``rows(key, <node>, own, ...)`` that meet in a key of up to ``hot`` rows, and the other keys."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned")
+    calm = rows.join(counts.where(F.col("n") <= hot).select("key"), "key")
+    a = calm.where("own").select("key", F.col(node).alias("a"))
+    b = calm.select("key", F.col(node).alias("b"), F.col("own").alias("b_own"))
+    pairs = a.join(b, "key").where("(b_own AND a < b) OR (NOT b_own AND a <> b)")
+    return (
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        counts.where(F.col("n") > hot).select("key"),
     )
-    least = less.groupBy("rest", "at").agg(F.min("h1").alias("a"), F.count("*").alias("n")).where("n > 1")
-    swapped = less.join(least, ["rest", "at"]).where("a <> h1").select("a", F.col("h1").alias("b"))
-    whole = texts.select(F.col("h1").alias("a"), F.xxhash64("line").alias("rest"))
-    longer = less.join(whole, "rest").select("a", F.col("h1").alias("b"))
-    return swapped.union(longer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _split_again(rows: DataFrame, edits: int, hot: int) -> DataFrame:
+    """(a, b) of ``rows(key, id, own, gap, rest)`` that meet in more segments, where the first one was too common."""
+    found = None
+    while True:
+        size = (F.char_length("rest") - F.col("gap")).cast("int")
+        last = rows.where(size <= edits)
+        links = _last_links(last)
+        found = links if found is None else found.union(links)
+        by_gap = F.array(*[
+            F.array(*[F.struct(F.lit(n).alias("number"), F.lit(s).alias("shift")) for g, n, s in _places(edits) if g == gap])
+            for gap in range(edits + 1)
+        ])
+        cut = rows.where(size > edits).select(
+            "key", "id", "own", "gap", "rest", size.alias("short"), F.explode(F.get(by_gap, F.col("gap"))).alias("p")
+        )
+        start, length = _segment(F.col("short"), F.col("p.number"), edits + 1)
+        at = (start + F.col("p.shift")).cast("int")
+        cut = cut.select("*", at.alias("at"), length.alias("length")).where("at >= 0 AND at + length <= char_length(rest)")
+        cut = cut.select(
+            F.xxhash64("key", "p.number", F.substr("rest", F.col("at") + 1, F.col("length"))).alias("key"), "id",
+            (F.col("own") & (F.col("p.shift") == 0)).alias("own"), "gap", _without(F.col("rest"), F.col("at"), F.col("length")).alias("rest"),
+        )
+        cut = stored(cut.distinct(), "line-parts")
+        pairs, busy = _paired(cut, "id", hot)
+        found = found.union(pairs)
+        rows = stored(cut.join(busy, "key", "left_semi"), "line-rests")
+        if not rows.take(1):
+            return found.distinct()
+
+
+def _last_links(rows: DataFrame) -> DataFrame:
+    """Links of rows that agree in all but a few characters of one place.
+
+    Index rows are linked to their smallest. A probe is linked to that and to the index rows that share a character of
+    the rest: with none in common its distance to all of them is the length of the longer rest.
+    """
+    own = rows.where("own")
+    least = own.groupBy("key").agg(F.min("id").alias("a"))
+    stars = rows.join(least, "key").where("a <> id").select("a", F.col("id").alias("b"))
+    letters = rows.withColumn("letter", F.explode(F.split("rest", "")))
+    shared = letters.where("own").select("key", "letter", F.col("id").alias("a")).join(
+        letters.where("NOT own").select("key", "letter", F.col("id").alias("b")), ["key", "letter"]).where("a <> b").select("a", "b")
+    return stars.union(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def within(longer: Column, shorter: Column, edits: int) -> Column:
+    """Whether two arrays of characters are within ``edits`` edits; the first has as many characters or more.
+
+    One machine word holds the band of ``2 edits + 1`` diagonals (Myers 1999, Hyyrö 2003): bit r of column j stands for
+    row j - edits + r, and the differences down a column, +1 and -1, are a bit each. Along the last cell's diagonal the
+    distance grows by one wherever the diagonal bit is off.
+    """
+    width = 2 * edits + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    whole = lambda x: F.lit(x).cast("long")
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    m, n = F.size(longer), F.size(shorter)
+
+    def column(state: Column, j: Column) -> Column:
+        letter = F.get(shorter, j - 1)
+        equal = whole(0)
+        for r in range(width):
+            row = j - edits + r
+            equal = equal + F.when((row >= 1) & (row <= m) & (F.get(longer, F.greatest(row - 1, F.lit(0))) == letter), whole(1 << r)).otherwise(whole(0))
+        up, down = state["up"], state["down"]
+
+        def after(diagonal: Column) -> Column:
+            rises = down.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(up))).bitwiseAND(whole(mask))
+            falls = diagonal.bitwiseAND(up)
+            half = F.shiftright(diagonal, 1)
+            lower = whole(mask ^ top)
+            return F.struct(
+                falls.bitwiseOR(F.bitwise_not(half.bitwiseOR(rises))).bitwiseAND(lower).bitwiseOR(whole(top)).alias("up"),
+                half.bitwiseAND(rises).bitwiseAND(lower).alias("down"),
+                (state["distance"] + 1 - F.call_function("shiftright", diagonal, m - n + edits).bitwiseAND(whole(1))).cast("long").alias("distance"),
+            )
+
+        return let(equal, lambda eq: let(
+            (eq.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(eq).bitwiseOR(down).bitwiseAND(whole(mask)), after))
+
+    start = F.struct(whole(mask ^ ((1 << edits) - 1)).alias("up"), whole(0).alias("down"), (m - n).cast("long").alias("distance"))
+    distance = F.aggregate(F.sequence(F.lit(1), n), start, column)["distance"]
+    return (m - n <= edits) & F.when(n == 0, m <= edits).otherwise(distance <= edits)
 
 
 def _texts(documents: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame:
-    """h1 and line of the distinct lines that ``wanted(h1)`` names."""
+    """id, h1, h2 and line of the distinct lines that ``wanted(h1)`` names; ids are numbers of the stored rows."""
     low = F.pmod(F.col("h1"), F.lit(FILTER_VALUES)).cast("int").alias("low")
     seen = wanted.select(low).distinct()  # at most FILTER_VALUES rows of 4 bytes, however many lines are wanted
-    return (
-        _hashed(document_lines(documents, min_chars).select("line")).withColumn("low", low)
-        .join(F.broadcast(seen), "low", "left_semi")
+    lines = document_lines(documents).where(F.char_length("line") >= min_chars).select("line", *_hashes(F.col("line")))
+    found = (
+        lines.withColumn("low", low).join(F.broadcast(seen), "low", "left_semi")
         .groupBy("h1", "h2").agg(F.first("line").alias("line"))
-        .join(wanted, "h1", "left_semi").select("h1", "line")
+        .join(wanted, "h1", "left_semi")
     )
+    return stored(found.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "line"), "line-texts")
 
 
-def line_classes(
-    documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None,
-    hashes: bool = False,
-) -> DataFrame:
-    """Each line that takes part, with the first line of its class and whether it is that line.
+def _links(distinct: DataFrame, documents: DataFrame, edits: int, min_chars: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between ids of the second table, which holds h1, h2 and line of these ids."""
+    places = _places(edits)
+    keyed = distinct.select("h1", F.posexplode(F.array(*[f"k{i}" for i in range(len(places))])).alias("place", "key")).where(
+        "key IS NOT NULL").withColumn("own", F.col("place").isin(*[i for i, (gap, _, shift) in enumerate(places) if gap == shift == 0]))
+    pairs, busy = _paired(keyed, "h1", hot)
+    pairs = stored(pairs, "line-pairs")
+    busy = stored(keyed.join(busy, "key").select("key", "h1", "place", "own"), "busy-lines")
+    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(busy.select("h1")).distinct()
+    texts = _texts(documents, min_chars, wanted)
+    ids = lambda c: texts.select(F.col("h1").alias(c), F.col("id").alias(f"{c}_id"))
+    met = pairs.join(ids("a"), "a").join(ids("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    if busy.take(1):
+        place = F.get(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("gap", "number", "shift"), p)]) for p in places]), F.col("place"))
+        rows = busy.join(texts, "h1").withColumn("p", place)
+        start, size = _segment(F.char_length("line") - F.col("p.gap"), F.col("p.number"), edits + 1)
+        rows = rows.select("key", "id", "own", F.col("p.gap").alias("gap"), _without(F.col("line"), start + F.col("p.shift"), size).alias("rest"))
+        met = met.union(_split_again(rows, edits, hot))
+    letters = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+    both = met.distinct().join(letters("a"), "a").join(letters("b"), "b").where("line_a <> line_b")
+    swap = F.char_length("line_a") < F.char_length("line_b")
+    both = both.select(
+        "a", "b", F.split(F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), "").alias("longer"),
+        F.split(F.when(swap, F.col("line_a")).otherwise(F.col("line_b")), "").alias("shorter"))
+    links = both.where(within(F.col("longer"), F.col("shorter"), edits)).select("a", "b")
+    return links, texts
 
-    Lines of ``exact_chars`` to ``min_chars`` characters are in one class with their equals only. Lines of at least ``min_chars`` characters (outer spaces aside) take part; those within ``max_edits`` edits are
-    linked, and a class is what links connect. First is the smallest (doc_id, line_no); a null doc_id comes before all.
-    Rows repeated with one doc_id have equal positions, so the first line is kept in each. Null and empty texts have no
-    lines; an empty table gives an empty result. With ``hashes`` there is a column more, the line's hash.
-    """
+
+def _marked(documents: DataFrame, max_edits: int, min_chars: int, hot: int) -> DataFrame:
+    """doc_id, text_hash, line_no, h1, h2 and head (doc_id, text_hash, line_no of the class's first line) of every line."""
     line, size = F.col("line"), F.char_length("line")
-    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
-    keys = _keys(line, size, max_edits)
-    if least < min_chars:
-        keys = [(own, F.when(size >= min_chars, k)) for own, k in keys]
-    marked = stored(
-        _hashed(document_lines(documents, least)).select(
-            "doc_id", "line_no", "h1", "h2", *[k.alias(f"k{i}") for i, (_, k) in enumerate(keys)]
-        ),
-        "lines",
-    )
+    keys = [F.when(size >= min_chars, k) for k in _keys(line, size, max_edits)]
     names = [f"k{i}" for i in range(len(keys))]
-    distinct = stored(
-        marked.groupBy("h1", "h2", *names).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "distinct-lines"
-    )
-    keyed = distinct.select("h1", F.explode(F.array(*[
-        F.struct(F.col(n).alias("key"), F.lit(own).alias("own")) for n, (own, _) in zip(names, keys, strict=True)
-    ])).alias("k")).select("h1", "k.key", "k.own").where("key IS NOT NULL")
-    pairs, busy = _met(keyed, max_edits, hot)
-    pairs = stored(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1")))
-    if busy is not None:
-        busy = stored(busy, "busy-lines")
-        wanted = wanted.union(busy)
-    texts = stored(_texts(documents, min_chars, wanted.distinct()), "line-texts")
-    if busy is not None:
-        pairs = pairs.union(_one_deletion(texts.join(busy, "h1", "left_semi"))).distinct()
-    left, right = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    links = pairs.join(left, "a").join(right, "b").where(
-        (F.col("line_a") != F.col("line_b")) & (F.levenshtein("line_a", "line_b", max_edits) >= 0)
-    ).select("a", "b")
-    parts = connected_components(links)
-    joined = distinct.join(parts, distinct["h1"] == parts["node"]).select("h1", "h2", "first", "component")
+    marked = stored(document_lines(documents).select(
+        "doc_id", "text_hash", "line_no", *_hashes(line), *[k.alias(n) for n, k in zip(names, keys)]), "lines")
+    distinct = stored(marked.groupBy("h1", "h2", *names).agg(
+        F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")), "distinct-lines")
+    links, texts = _links(distinct, documents, max_edits, min_chars, hot)
+    parts = connected_components(links).join(texts.select(F.col("id").alias("node"), "h1", "h2"), "node").select("h1", "h2", "component")
+    joined = distinct.join(parts, ["h1", "h2"]).select("h1", "h2", "first", "component")
     merged = joined.join(joined.groupBy("component").agg(F.min("first").alias("head")), "component").select("h1", "h2", "head")
     # Stored, so that both sides of the last join come straight from exchanges and AQE can split a common line.
     heads = stored(distinct.select("h1", "h2", "first").join(merged, ["h1", "h2"], "left").select(
         "h1", "h2", F.coalesce("head", "first").alias("head")
     ), "line-heads")
-    return marked.select("doc_id", "line_no", "h1", "h2").join(heads, ["h1", "h2"]).select(
+    return marked.select("doc_id", "text_hash", "line_no", "h1", "h2").join(heads, ["h1", "h2"])
+
+
+def _is_head() -> Column:
+    same = F.lit(True)
+    for c in ("doc_id", "text_hash", "line_no"):
+        same = same & F.col(c).eqNullSafe(F.col(f"head.{c}"))
+    return same
+
+
+def line_classes(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+    """Each line that is not empty, with the first line of its class and whether it is that line.
+
+    Outer spaces aside, lines of at least ``min_chars`` characters within ``max_edits`` edits are linked, and a class is
+    what links connect; shorter lines are in one class with their equals. First is the smallest (doc_id, hash of the
+    text, line_no); a null doc_id comes before all. Rows with one doc_id, or none, are apart if their texts differ; rows
+    equal in both are one document, whose first line is kept in each. Null and empty texts have no lines; an empty table
+    gives an empty result.
+    """
+    return _marked(documents, max_edits, min_chars, hot).select(
         "doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),
-        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))).alias("kept"),
-        *(["h1"] if hashes else []),
+        _is_head().alias("kept"),
     )
 
 
-def dedup_lines(documents: DataFrame, **settings: int) -> DataFrame:
+def dedup_lines(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """``documents`` without the lines that are not the first of their class; all rows and columns stay.
 
-    A line goes by its number and text, so that texts under one doc_id (or none) lose their own lines only.
-    Lines below the edit join's length go where they equal an earlier line; empty ones stay. Where there is a column ``n_chars`` it follows the text. A text of which no line is left is empty.
+    Lines go by the document that they stand in, a doc_id with a text, so texts under one doc_id (or none) lose their own
+    lines only. Empty lines stay. Where there is a column ``n_chars`` it follows the text. A text of which no line is
+    left is empty; null texts stay null.
     """
-    gone = line_classes(documents, **{"exact_chars": 1} | settings, hashes=True).where("NOT kept").groupBy("doc_id").agg(
-        F.collect_set(F.xxhash64("line_no", "h1")).alias("__gone")
-    ).withColumnRenamed("doc_id", "__doc")
-    rows = documents.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
+    name = f"gone-{uuid.uuid4().hex}"
     text = F.col("text").cast("string")
-    left = F.array_join(
-        F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), F.xxhash64(i, F.xxhash64(F.trim(x))))), "\n"
-    )
-    columns = {"text": F.when(F.col("__gone").isNull(), text).otherwise(left)}
-    out = [columns.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns]
-    kept = rows.select(*out)
+    document = lambda i, t: F.struct(i.cast("long").alias("doc_id"), t.alias("text_hash"))
+    gone = _marked(documents, max_edits, min_chars, hot).where(~_is_head()).groupBy("doc_id", "text_hash").agg(
+        F.collect_set("line_no").alias("lines"))
+    gone = gone.select(F.struct(document(F.col("doc_id"), F.col("text_hash")).alias("of"), "lines").alias(name))
+    rows = documents.join(gone, document(F.col("doc_id"), F.xxhash64(text)).eqNullSafe(F.col(f"`{name}`.of")), "left")
+    lines = F.col(f"`{name}`.lines")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    new = F.when(lines.isNull(), text).otherwise(left)
+    columns = {"text": new}
     if "n_chars" in documents.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return kept
+        columns["n_chars"] = F.char_length(new).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
 
 
 ORACLE_SQL = f"""
@@ -191,10 +289,10 @@ WITH RECURSIVE l AS (
   SELECT doc_id, (i - 1)::INTEGER AS line_no, trim(parts[i]) AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
-), t AS (SELECT * FROM l WHERE length(line) >= {MIN_CHARS}),
+), t AS (SELECT * FROM l WHERE line <> ''),
 d AS (SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS first FROM t GROUP BY line),
 e AS (
-  SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON b.n BETWEEN a.n AND a.n + {MAX_EDITS} AND a.line <> b.line
+  SELECT a.line AS a, b.line AS b FROM d a JOIN d b ON a.n >= {MIN_CHARS} AND b.n BETWEEN a.n AND a.n + {MAX_EDITS} AND a.line <> b.line
     AND (left(a.line, (a.n // 2)::BIGINT) = left(b.line, (a.n // 2)::BIGINT)
       OR right(a.line, (a.n - a.n // 2)::BIGINT) = right(b.line, (a.n - a.n // 2)::BIGINT))
   WHERE levenshtein(a.line, b.line) <= {MAX_EDITS}

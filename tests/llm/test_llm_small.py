@@ -403,7 +403,7 @@ def edit(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits,hot", [(1, 32), (1, 2), (2, 32)])
+@pytest.mark.parametrize("edits,hot", [(1, 32), (1, 2), (2, 32), (2, 6)])
 def test_line_classes(spark, edits, hot):
     rng = random.Random(13)
     base = [word_text(rng, 6)[:30].ljust(26, "q") for _ in range(25)]
@@ -419,7 +419,7 @@ def test_line_classes(spark, edits, hot):
         texts.append("\n".join([*own, "short", ""]))
     docs = documents(spark, [*texts, None, "", "x" * 20_000])
     rows = linededup.line_classes(docs, max_edits=edits, min_chars=20, hot=hot).collect()
-    lines = {(d, i): x.strip(" ") for d, t in enumerate([*texts, "", "", "x" * 20_000]) for i, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 20}
+    lines = {(d, i): x.strip(" ") for d, t in enumerate([*texts, "", "", "x" * 20_000]) for i, x in enumerate(t.split("\n")) if x.strip(" ")}
     assert len(rows) == len(lines)
     distinct = sorted(set(lines.values()))
     parent = {x: x for x in distinct}
@@ -431,7 +431,7 @@ def test_line_classes(spark, edits, hot):
 
     for i, a in enumerate(distinct):
         for b in distinct[i + 1 :]:
-            if abs(len(a) - len(b)) <= edits and edit(a, b) <= edits:
+            if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= edits and edit(a, b) <= edits:
                 parent[find(a)] = find(b)
     first = {}
     for at, x in sorted(lines.items()):
