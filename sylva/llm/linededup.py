@@ -209,13 +209,15 @@ def _links(distinct: DataFrame, documents: DataFrame, edits: int, min_chars: int
         start, size = _segment(F.char_length("line") - F.col("p.gap"), F.col("p.number"), edits + 1)
         rows = rows.select("key", "id", "own", F.col("p.gap").alias("gap"), _without(F.col("line"), start + F.col("p.shift"), size).alias("rest"))
         met = met.union(_split_again(rows, edits, hot))
-    letters = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-    both = met.distinct().join(letters("a"), "a").join(letters("b"), "b").where("line_a <> line_b")
+    line = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+    both = met.distinct().join(line("a"), "a").join(line("b"), "b").where("line_a <> line_b")
     swap = F.char_length("line_a") < F.char_length("line_b")
-    both = both.select(
-        "a", "b", F.split(F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), "").alias("longer"),
+    letters = F.struct(
+        F.split(F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), "").alias("longer"),
         F.split(F.when(swap, F.col("line_a")).otherwise(F.col("line_b")), "").alias("shorter"))
-    links = both.where(within(F.col("longer"), F.col("shorter"), edits)).select("a", "b")
+    # Bound to a variable, as the optimizer would put the splitting into each step of the distance.
+    near = F.transform(F.array(letters), lambda x: within(x["longer"], x["shorter"], edits))[0]
+    links = both.where(near).select("a", "b")
     return links, texts
 
 
