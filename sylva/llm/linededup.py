@@ -31,10 +31,8 @@ def document_lines(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no (from 0) and line of every line that is not empty, outer spaces aside."""
     text = F.col("text").cast("string")
     return (
-        documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-            F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
-        )
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+        .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .select("doc_id", "text_hash", "line_no", F.trim("line").alias("line"))
         .where("line <> ''")
     )
@@ -178,6 +176,21 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     return (m - n <= edits) & F.when(n == 0, m <= edits).otherwise(distance <= edits)
 
 
+def _letters(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def _unshared(pair: Column, front: bool) -> Column:
+    """(x, y) without the front or back half of the shorter one where both have it; their distance is the same."""
+    x, y = pair["x"], pair["y"]
+    half = F.floor(F.least(F.char_length(x), F.char_length(y)) / 2).cast("int")
+    if front:
+        same, rest = F.left(x, half) == F.left(y, half), lambda t: F.substr(t, half + 1)
+    else:
+        same, rest = F.right(x, half) == F.right(y, half), lambda t: F.left(t, F.char_length(t) - half)
+    return F.struct(F.when(same, rest(x)).otherwise(x).alias("x"), F.when(same, rest(y)).otherwise(y).alias("y"))
+
+
 def _texts(documents: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame:
     """id, h1, h2 and line of the distinct lines that ``wanted(h1)`` names; ids are numbers of the stored rows."""
     low = F.pmod(F.col("h1"), F.lit(FILTER_VALUES)).cast("int").alias("low")
@@ -211,13 +224,16 @@ def _links(distinct: DataFrame, documents: DataFrame, edits: int, min_chars: int
         met = met.union(_split_again(rows, edits, hot))
     line = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
     both = met.distinct().join(line("a"), "a").join(line("b"), "b").where("line_a <> line_b")
-    swap = F.char_length("line_a") < F.char_length("line_b")
-    letters = F.struct(
-        F.split(F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), "").alias("longer"),
-        F.split(F.when(swap, F.col("line_a")).otherwise(F.col("line_b")), "").alias("shorter"))
-    # Bound to a variable, as the optimizer would put the splitting into each step of the distance.
-    near = F.transform(F.array(letters), lambda x: within(x["longer"], x["shorter"], edits))[0]
-    links = both.where(near).select("a", "b")
+    # Values are bound to variables, as the optimizer would put the cutting and splitting into each step of the distance.
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    pair = F.struct(F.col("line_a").alias("x"), F.col("line_b").alias("y"))
+    cut = lambda front: lambda p: _unshared(p, front)
+    for front in (True, False) * 2:
+        pair = bound(pair, cut(front))
+    swap = lambda p: F.char_length(p["x"]) < F.char_length(p["y"])
+    letters = bound(pair, lambda p: F.struct(
+        _letters(F.when(swap(p), p["y"]).otherwise(p["x"])).alias("longer"), _letters(F.when(swap(p), p["x"]).otherwise(p["y"])).alias("shorter")))
+    links = both.where(bound(letters, lambda p: within(p["longer"], p["shorter"], edits))).select("a", "b")
     return links, texts
 
 
