@@ -13,6 +13,7 @@ whose rows have too many variants is dealt again by more leading bits, down to w
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -182,13 +183,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the id of its component: one document of each group of near copies.
+    """One row of ``documents`` of each group of near copies: that with the smallest doc_id, all columns as they are.
 
-    Near copies share four fifths of their 5-word shingles (see ``nearcopies``), which fingerprints do not decide.
-
-    Of rows that are equal in all columns one stays. Rows without a doc_id cannot be named by a component and stay.
+    Near copies share four fifths of their 5-word shingles (see ``nearcopies``). A null doc_id comes after all others;
+    of different texts under one doc_id in a group the one with the smallest hash stays. Null and blank texts are copies
+    of each other. An empty table stays empty.
     """
-    keep = nearcopies.components(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    # Both steps need rows dealt by doc_id only, so the second one moves nothing.
-    named = documents.join(keep, documents["doc_id"] == keep["__keep"]).drop("__keep").dropDuplicates()
-    return named.union(documents.where(F.col("doc_id").isNull()))
+    rows = stored(nearcopies.groups(documents), "near-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2"))
+    r1, r2 = (f"{c}-{uuid.uuid4().hex}" for c in ("r1", "r2"))
+    keep = rows.groupBy("group").agg(first.alias("m")).select(F.col("m.r1").alias(r1), F.col("m.r2").alias(r2))
+    one, two = nearcopies.row_hashes(documents)
+    named = documents.withColumn(r1, one).withColumn(r2, two).join(keep, [r1, r2], "left_semi")
+    if rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        named = named.dropDuplicates([r1, r2])  # rows are dealt by these already
+    return named.drop(r1, r2)

@@ -8,8 +8,8 @@ from sylva.llm import nearcopies, simhash
 from tests.llm.test_llm_small import documents, word_text
 
 
-@pytest.mark.parametrize("hot", [32, 3])
-def test_components_equal_all_pairs(spark, hot):
+@pytest.mark.parametrize("calm,hot", [(32, 2_000_000), (3, 2_000_000), (32, 700)])
+def test_components_equal_all_pairs(spark, calm, hot):
     rng = random.Random(5)
     texts = [None, "", "one two", "One  two"]
     for _ in range(12):
@@ -33,7 +33,7 @@ def test_components_equal_all_pairs(spark, hot):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     docs = documents(spark, texts)
-    found = {r["doc_id"]: r["component_id"] for r in nearcopies.components(docs, hot).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.components(docs, calm, hot).collect()}
     assert found == {i: find(i) for i in range(len(texts))}
 
 
@@ -45,3 +45,35 @@ def test_three_changed_words_are_a_near_copy(spark):
     texts = [" ".join(words), " ".join(other)]
     apart = bin(simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).count("1")
     assert apart > 4 and [r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()] == [0]
+
+
+def test_pairs_at_the_least_similarity_are_found(spark):
+    """Pairs between 0.8 and 0.9: the tables are laid out to miss one of fifty at 0.8 exactly, fewer above."""
+    rng = random.Random(23)
+    texts, near = [], 0
+    for k in range(60):
+        words = word_text(rng, 400).split()
+        other = list(words)
+        for i in range(rng.randint(5, 9)):
+            other[20 + 40 * i] = "changed"
+        a, b = (set(nearcopies.shingles(" ".join(w)).tolist()) for w in (words, other))
+        near += len(a & b) >= 0.8 * len(a | b)
+        texts += [" ".join(words), " ".join(other)]
+    found = nearcopies.components(documents(spark, texts)).where("doc_id <> component_id").count()
+    assert near >= 40 and 0.95 * near <= found <= near
+
+
+def test_layout():
+    assert nearcopies.layout(1)[0] == 24 and nearcopies.layout(10**12)[0] == 40
+    for n in (1, 10**5, 10**9):
+        width, tables = nearcopies.layout(n)
+        assert tables < 100 and width * tables < 4096
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(None, "a b c"), (4, "A b  C"), (4, "A b  C"), (2, None), (9, ""), (None, None), (7, "x y"), (7, "z w"), (None, "only")]
+    docs = spark.createDataFrame([(i, t, {"k": 1}, 1) for i, t in rows], "doc_id long, text string, __keep map<string,int>, r1 int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(4, "A b  C"), (2, None), (7, "x y"), (7, "z w"), (None, "only")], key=str)
