@@ -114,6 +114,39 @@ class Node:
             found.append({c.name: " ".join(c.leaves()) for c in self.children if isinstance(c, Node) and c.type == "ENT"})
         return [r for i, r in enumerate(found) if r not in found[:i]]
 
+    def part(self, start: int | None = None, stop: int | None = None) -> tuple[Node | str, ...]:
+        """Children by a slice."""
+        return self.children[start:stop]
+
+    def insert(self, at: int, *new: Node | str) -> Node:
+        """With new children before the one at ``at``, which counts from the end where negative."""
+        kids = list(self.children)
+        kids[at:at] = new
+        return replace(self, children=tuple(kids))
+
+    def extend(self, *new: Node | str) -> Node:
+        return replace(self, children=self.children + new)
+
+    def pop(self, at: int = -1) -> tuple[Node, Node | str]:
+        """(without the child at ``at``, that child)."""
+        kids = list(self.children)
+        gone = kids.pop(at)
+        return replace(self, children=tuple(kids)), gone
+
+    def clear(self) -> Node:
+        return replace(self, children=())
+
+    def leaf_position(self, leaf: int) -> tuple[int, ...]:
+        """Path of the leaf with this number from 0, left to right; IndexError where there are fewer."""
+        if leaf < 0:
+            raise IndexError(leaf)
+        for i, c in enumerate(self.children):
+            n = 1 if isinstance(c, str) else len(c.leaves())
+            if leaf < n:
+                return (i,) if isinstance(c, str) else (i, *c.leaf_position(leaf))
+            leaf -= n
+        raise IndexError("fewer leaves")
+
     def copy(self) -> Node:
         return self
 

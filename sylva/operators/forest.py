@@ -54,6 +54,50 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'LEAF'").select("tree_id", "pos", "value", (F.row_number().over(order) - 1).alias("leaf"))
 
 
+def leaf_position(nodes: DataFrame, leaf: int) -> DataFrame:
+    """tree_id and pos of each tree's leaf with this number (from 0); trees with fewer leaves have none."""
+    return leaves(nodes).where(F.col("leaf") == leaf).select("tree_id", "pos")
+
+
+def positions(nodes: DataFrame, order: str = "pre") -> DataFrame:
+    """tree_id, n (from 0) and pos of the nodes and leaves of each tree in an order of traversal.
+
+    ``pre``: a node before its children; ``post``: after them; ``both``: inner nodes before and after; ``leaves``: leaves.
+    """
+    after = F.array_append("pos", F.lit(2**31 - 1))  # sorts behind all that begins with pos
+    inner = F.col("kind") == "NODE"
+    if order == "pre":
+        rows = nodes.withColumn("__key", F.col("pos"))
+    elif order == "post":
+        rows = nodes.withColumn("__key", F.when(inner, after).otherwise(F.col("pos")))
+    elif order == "both":
+        rows = nodes.withColumn("__key", F.explode(F.when(inner, F.array(F.col("pos"), after)).otherwise(F.array("pos"))))
+    elif order == "leaves":
+        rows = nodes.where("kind = 'LEAF'").withColumn("__key", F.col("pos"))
+    else:
+        raise ValueError(f"no order of traversal: {order}")
+    number = F.row_number().over(Window.partitionBy("tree_id").orderBy("__key")) - 1
+    return rows.select("tree_id", number.alias("n"), "pos")
+
+
+def broken_trees(nodes: DataFrame) -> DataFrame:
+    """tree_id and problem of each tree that is none.
+
+    Problems: ``root`` (not exactly one), ``repeated`` (a place taken twice), ``orphan`` (no inner node above), ``gap``
+    (children that are not numbered from 0 on), ``label`` (an inner node without a label, or a leaf without a value).
+    """
+    roots = nodes.groupBy("tree_id").agg(F.count_if(F.size("pos") == 0).alias("k")).where("k <> 1").select("tree_id", F.lit("root").alias("problem"))
+    places = nodes.groupBy("tree_id", "pos").agg(F.count("*").alias("k"), F.max(F.col("kind") == "NODE").alias("inner"))
+    repeated = places.where("k > 1").select("tree_id", F.lit("repeated"))
+    kids = places.where(F.size("pos") > 0).groupBy("tree_id", parent_pos().alias("pos")).agg(
+        F.count("*").alias("kids"), F.max(F.element_at("pos", -1)).alias("last"), F.min(F.element_at("pos", -1)).alias("first"))
+    above = kids.join(places, ["tree_id", "pos"], "left")
+    orphan = above.where("NOT coalesce(inner, false)").select("tree_id", F.lit("orphan"))
+    gap = kids.where("first <> 0 OR last <> kids - 1").select("tree_id", F.lit("gap"))
+    label = nodes.where("(kind = 'NODE' AND label IS NULL) OR (kind = 'LEAF' AND value IS NULL)").select("tree_id", F.lit("label"))
+    return roots.union(repeated).union(orphan).union(gap).union(label).distinct()
+
+
 def productions(nodes: DataFrame) -> DataFrame:
     """Per inner node its label and the ordered labels of its children; leaves stand as ``'text'``."""
     rows = with_links(nodes)

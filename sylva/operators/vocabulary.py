@@ -136,3 +136,14 @@ def model_rewrite(trees: DataFrame, make_model: Callable[[], Model], prompt: str
 def suggest_names(groups: dict[str, frozenset[str]], samples: dict[str, list[dict]], namer: Callable[[str, frozenset[str], list[dict]], str]) -> list[tuple[str, str, str]]:
     """(type, old, new) for groups, from a namer that sees entities and up to five rows; names are upper-cased."""
     return [("GROUP", g, normalize(namer(g, e, samples.get(g, [])[:5]))) for g, e in sorted(groups.items())]
+
+
+def suggest_relation_names(relations: dict[str, tuple[str, str]], samples: dict[str, list[dict]],
+                           namer: Callable[[str, str, str, list[dict]], str]) -> list[tuple[str, str, str]]:
+    """(type, old, new) for relations, from a namer that sees both groups and up to five pairs of rows."""
+    return [("REL", r, normalize(namer(r, a, b, samples.get(r, [])[:5]))) for r, (a, b) in sorted(relations.items())]
+
+
+def shuffled(trees: DataFrame, seed: int = 0) -> DataFrame:
+    """``trees`` in an order drawn by a seeded hash, so that prompts mix trees and a run can be repeated."""
+    return trees.orderBy(F.xxhash64(F.lit(seed), "tree_id"), "tree_id")

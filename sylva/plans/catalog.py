@@ -34,10 +34,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from sylva.plans import trees  # noqa: F401  (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sylva.plans import trees  # noqa: F401
+
     return dict(_ORACLES)
 
 

@@ -52,3 +52,34 @@ def generate_instances(spark: SparkSession, groups: DataFrame, relations: DataFr
         group(F.col("right"), F.concat_ws("#", "name", "right", F.col("i").cast("string")), F.col("re")),
     )
     return trees.union(both.select(oid.alias("tree_id"), child("REL", F.col("name"), ends).alias("children")))
+
+
+def gathered_instances(trees: DataFrame) -> DataFrame:
+    """``trees(tree_id, tree)`` of :func:`generate_instances` gathered: a collection of all instances of a name each.
+
+    One tree per group or relation of the schema, as large as what was generated of it.
+    """
+    child = F.col("children")[0]
+    named = F.concat_ws("::", child["type"], child["name"])
+
+    def build(batches):
+        import json
+
+        import pyarrow as pa
+
+        from sylva.model import Node, make_label, to_json
+
+        def group(g) -> Node:
+            return Node(make_label("GROUP", g["name"]), tuple(Node(make_label("ENT", e["name"]), (e["value"],), f"{g['oid']}/{e['name']}") for e in g["ents"]), g["oid"])
+
+        for batch in batches:
+            ids, out = batch.column("label").to_pylist(), []
+            for label, rows in zip(ids, batch.column("rows").to_pylist(), strict=True):
+                kind, _, name = label.partition("::")
+                kids = [[group(g) for g in json.loads(r)] for r in sorted(rows)]
+                kids = [k[0] if kind == "GROUP" else Node(label, tuple(k)) for k in kids]
+                out.append(to_json(Node(f"COLL::{name}", tuple(kids), f"COLL::{name}")))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.string())], names=["tree_id", "tree"])
+
+    rows = trees.groupBy(named.alias("label")).agg(F.collect_list(F.to_json(child["groups"])).alias("rows"))
+    return rows.mapInArrow(build, "tree_id string, tree string")
