@@ -1,7 +1,7 @@
 """Relational tables as a forest: one tree per row of a root table, grown along foreign keys.
 
-The reference semantics ask for one lookup per row and key. Here the foreign-key graph is walked once, on the driver,
-and becomes a chain of left equi-joins; a tree is then an array built from one joined row, so its nodes need no shuffle.
+A row's tree holds the rows that its foreign keys lead to, and theirs. The foreign-key graph is walked once, on the
+driver, and becomes a chain of left equi-joins; a tree is then an array built from one joined row, so its nodes need no shuffle.
 Small dimension tables are broadcast by the planner's own size check.
 """
 
@@ -20,9 +20,16 @@ NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"  # the fixed object-identifie
 
 @dataclass(frozen=True)
 class ForeignKey:
+    """A key to ``target``; ``more`` holds further (column, target column) pairs of a composite one."""
+
     column: str
     target: str
     target_column: str
+    more: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def pairs(self) -> tuple[tuple[str, str], ...]:
+        return ((self.column, self.target_column), *self.more)
 
 
 @dataclass(frozen=True)
@@ -39,7 +46,7 @@ class Table:
 
     @property
     def attributes(self) -> list[str]:
-        keys = {k.column for k in self.foreign_keys}
+        keys = {a for k in self.foreign_keys for a, _ in k.pairs}
         return [c for c in self.columns if c not in keys]
 
 
@@ -286,7 +293,9 @@ def read_walk(load: Callable[[str], DataFrame], catalog: Catalog, root: str, *,
             *[F.col(f"`{c}`").alias(f"{step.alias}.{c}") for c in catalog[step.table].columns],
             F.lit(True).alias(f"{step.alias}.__there"),
         )
-        match = F.col(f"`{step.parent}.{step.key.column}`") == F.col(f"`{step.alias}.{step.key.target_column}`")
+        match = F.lit(True)
+        for own, other in step.key.pairs:
+            match = match & (F.col(f"`{step.parent}.{own}`") == F.col(f"`{step.alias}.{other}`"))
         joined = joined.join(right, match, "inner" if association and step.parent == "a0" else "left")
     return Walk(catalog, steps, joined, list(table.columns), namespace, association)
 
@@ -297,8 +306,11 @@ def unreferenced(load: Callable[[str], DataFrame], catalog: Catalog, target: str
     for table in catalog.values():
         for key in table.foreign_keys:
             if key.target == target:
-                used = load(table.name).select(F.col(f"`{key.column}`").alias("__used")).distinct()
-                rows = rows.join(used, F.col(f"`{key.target_column}`") == F.col("__used"), "left_anti")
+                used = load(table.name).select(*[F.col(f"`{a}`").alias(f"__used{i}") for i, (a, _) in enumerate(key.pairs)]).distinct()
+                match = F.lit(True)
+                for i, (_, other) in enumerate(key.pairs):
+                    match = match & (F.col(f"`{other}`") == F.col(f"__used{i}"))
+                rows = rows.join(used, match, "left_anti")
     return rows
 
 
@@ -332,8 +344,11 @@ def referenced_instances(load: Callable[[str], DataFrame], catalog: Catalog, roo
             chain.insert(0, steps[chain[0].parent])
         rows = load(chain[0].table)
         for s in chain[1:]:
-            keys = rows.select(F.col(f"`{s.key.column}`").alias("__k")).distinct()
-            rows = load(s.table).join(keys, F.col(f"`{s.key.target_column}`") == F.col("__k"), "left_semi")
+            keys = rows.select(*[F.col(f"`{a}`").alias(f"__k{i}") for i, (a, _) in enumerate(s.key.pairs)]).distinct()
+            match = F.lit(True)
+            for i, (_, other) in enumerate(s.key.pairs):
+                match = match & (F.col(f"`{other}`") == F.col(f"__k{i}"))
+            rows = load(s.table).join(keys, match, "left_semi")
         parts.append(rows.select(*[F.col(f"`{c}`").cast("string").alias(entity_name(c)) for c in catalog[group].attributes]))
     out = parts[0]
     for p in parts[1:]:

@@ -33,10 +33,12 @@ class TreeStore:
         if self._pending is not None:
             return self._pending
         versions = self._versions()
-        last = versions.orderBy(F.desc("n")).first() if versions is not None else None
-        if last is None:
+        last = versions.orderBy(F.desc("n")).limit(2).collect() if versions is not None else []
+        if not last:
             return self.spark.createDataFrame([], "tree_id string, tree string")
-        return self.spark.read.parquet(f"{self.path}/{last['folder']}")
+        if len(last) == 2 and last[0]["n"] == last[1]["n"]:
+            raise RuntimeError(f"two writers made version {last[0]['n']}: {last[0]['folder']} and {last[1]['folder']}")
+        return self.spark.read.parquet(f"{self.path}/{last[0]['folder']}")
 
     def _write(self, trees: DataFrame) -> None:
         if self._open:
@@ -54,6 +56,24 @@ class TreeStore:
         new = new.withColumn("__k", last).where("__k = 1").drop("__k")
         self._write(self.read().join(new, "tree_id", "left_anti").unionByName(new))
 
+    def add_in_batches(self, batches: Iterator[DataFrame]) -> int:
+        """Add batch after batch, each a snapshot of its own, so that what is in stays in; the number of batches."""
+        n = 0
+        for n, batch in enumerate(batches, 1):
+            self.add(batch)
+        return n
+
+    def reference(self, tree_id: str) -> tuple[str, str]:
+        """What :meth:`resolve` finds the tree by, from any session: the store's folder and the tree's id."""
+        if tree_id not in self:
+            raise KeyError(tree_id)
+        return self.path, tree_id
+
+    @classmethod
+    def resolve(cls, spark: SparkSession, reference: tuple[str, str]) -> DataFrame:
+        """The tree of a reference as one row; none where it was discarded since."""
+        return cls(spark, reference[0]).read().where(F.col("tree_id") == reference[1])
+
     def discard(self, ids: DataFrame) -> None:
         self._write(self.read().join(ids.select("tree_id"), "tree_id", "left_anti"))
 
