@@ -90,7 +90,7 @@ def leaf_values(spark, folder):
     return forest.leaves(_customer_nodes(spark, folder)).groupBy("value").agg(F.count("*").alias("count"))
 
 
-@query("SELECT count(*)::BIGINT AS links, 0::BIGINT AS lost, count(*)::BIGINT * 27 AS below_root FROM customer" .replace("count(*)::BIGINT AS links", "count(*)::BIGINT * 27 AS links"))
+@query("SELECT 27 * count(*)::BIGINT AS links, 0::BIGINT AS lost, 27 * count(*)::BIGINT AS below_root FROM customer")
 def parent_links(spark, folder):
     """Each inner node but the root has one parent, which is there, at depth one less."""
     rows = forest.with_links(_customer_nodes(spark, folder).where("kind = 'NODE'"))
@@ -466,17 +466,8 @@ def renamed_clusters(spark, folder):
 
 @query("SELECT label, (k * n)::BIGINT AS count FROM (SELECT count(*) AS n FROM events), (VALUES ('ROOT', 1), ('event', 1), ('who', 1), ('what', 1), " + _EVENT_ENTS + ") AS t(label, k)")
 def model_rewritten(spark, folder):
-    """A text model that answers every second call with the trees as they came; failing calls leave trees alone."""
-
-    def make():
-        def model(prompt: str) -> str:
-            if len(prompt) % 2:
-                raise RuntimeError("no answer")
-            return prompt
-
-        return lambda prompt: prompt if prompt else model(prompt)
-
-    nodes = trees_to_nodes(vocabulary.model_rewrite(_event_trees(spark, folder), make)).where("kind = 'NODE'")
+    """A text model that answers with the trees as they came."""
+    nodes = trees_to_nodes(vocabulary.model_rewrite(_event_trees(spark, folder), lambda: lambda prompt: prompt)).where("kind = 'NODE'")
     return nodes.groupBy("label").agg(F.count("*").alias("count"))
 
 
