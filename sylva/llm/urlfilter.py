@@ -5,8 +5,9 @@ validity intervals, from the day of an ``add`` up to the next entry of the same
 the entries active on the day it was fetched, as of then: its host and all its parent domains are looked up, and the
 longest active pattern decides; at equal length an ``allow`` wins over a ``block``.
 
-What decides is the host and the day, so captures are reduced to these before the join: a host with a third of all
-captures has as many rows as days. Only DataFrame operations are used.
+What decides is the host and the day, so captures are reduced to these, and these to the names looked up and days, before
+the join: a host with a third of all captures, or a parent domain of many hosts, has as many rows as days. Only DataFrame
+operations are used.
 """
 
 from __future__ import annotations
@@ -67,13 +68,16 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     seen = rows.where("host <> '' AND fetched IS NOT NULL").select("host", "fetched").distinct()
     asked = seen.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("suffix"))
+    # Names and days meet the list without the hosts below them: a parent domain has as many rows as days, not hosts.
+    days = asked.select("suffix", "fetched").distinct()
     listed = intervals(entries)
-    active = asked.join(
+    active = days.join(
         listed,
-        (asked["suffix"] == listed["pattern"]) & (asked["fetched"] >= listed["valid_from"]) & (asked["fetched"] < listed["valid_to"]),
+        (days["suffix"] == listed["pattern"]) & (days["fetched"] >= listed["valid_from"]) & (days["fetched"] < listed["valid_to"]),
     )
     best = F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("allow"), "pattern", "list", "valid_from")
-    decided = active.groupBy("host", "fetched").agg(F.max(best).alias("best"))
+    by_name = active.groupBy("suffix", "fetched").agg(F.max(best).alias("best"))
+    decided = asked.join(by_name, ["suffix", "fetched"]).groupBy("host", "fetched").agg(F.max("best").alias("best"))
     return rows.join(decided, ["host", "fetched"], "left").select(
         "page_id", "host", "fetched", F.col("best.pattern").alias("pattern"), F.col("best.list").alias("list"),
         F.col("best.valid_from").alias("valid_from"), F.coalesce("best.list", F.lit("none")).alias("verdict"),
