@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from sylva.llm.common import stored
 
 BITS, TOP, QUERY_STEP = 64, 10, 100
+#: Shares of a query's candidates that are ranked apart before they meet, so that no query is one task's alone.
+SALTS = 16
 
 
 def sign_code(vector: Column) -> Column:
@@ -64,6 +66,15 @@ def _probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
     return rows.select("query_id", "query", "bound", "segment", "value")
 
 
+def _nearest(rows: DataFrame, top: int) -> DataFrame:
+    """The ``top`` nearest rows of each query with their rank: first of each of its ``SALTS`` shares, then of all."""
+    order = ("distance", "vec_id")
+    share = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).orderBy(*order)
+    whole = Window.partitionBy("query_id").orderBy(*order)
+    few = rows.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
+    return few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= top)
+
+
 def search(codes: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """The ``top`` nearest of each query among ``codes(vec_id, code)``: query_id, rank from 1, vec_id, distance.
 
@@ -93,7 +104,7 @@ def search(codes: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFram
         found = met.select("query_id", "code", distance.alias("distance")).distinct()
         seen = found.join(members.hint("merge"), "code").where("vec_id <> query_id").select("query_id", "vec_id", "distance")
         best = stored(
-            best.union(seen).distinct().withColumn("rank", nearest).where(F.col("rank") <= top).drop("rank"), "code-best"
+            _nearest(best.union(seen).distinct(), top).drop("rank"), "code-best"
         )
         covered = len(widths) * (radius + 1) - 1
         state = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
