@@ -72,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_temporal_list": urlfilter.ORACLE_SQL,
         "op7_multi_index_hashing": hamming.ORACLE_SQL,
         "op8_line_edit_join": linededup.ORACLE_SQL,
+        "op10_warc_round_trip": warc.ORACLE_SQL,
     }

@@ -321,14 +321,28 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all ``pages`` to archives in the shared folder and read them back: one row per page.
 
     Null html is an empty payload; a null page_id is written without a number and read back as null; repeated rows give
-    a record each; an empty table gives an empty result; other columns are not written.
+    a record each; an empty table gives an empty result; other columns are not written. That not all records come back is
+    an error.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     files = stored(write_archives(pages, folder), "warc-files")
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    return read_archives(files, content=False).select(
+    found = stored(read_archives(files, content=False), "warc-found")
+    written, read = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written, {read} were read")
+    return found.select(
         as_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         as_id(F.col("refers_to")).alias("refers_to"),
     )
+
+
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_page IS NOT NULL AND page_id IS DISTINCT FROM first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_page IS NOT NULL AND page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
