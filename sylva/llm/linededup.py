@@ -240,13 +240,13 @@ def _links(distinct: DataFrame, documents: DataFrame, edits: int, min_chars: int
 def _marked(documents: DataFrame, max_edits: int, min_chars: int, hot: int) -> DataFrame:
     """doc_id, text_hash, line_no, h1, h2 and head (doc_id, text_hash, line_no of the class's first line) of every line."""
     line, size = F.col("line"), F.char_length("line")
-    keys = [F.when(size >= min_chars, k) for k in _keys(line, size, max_edits)]
+    keys = _keys(line, size, max_edits)
     names = [f"k{i}" for i in range(len(keys))]
     marked = stored(document_lines(documents).select(
-        "doc_id", "text_hash", "line_no", *_hashes(line), *[k.alias(n) for n, k in zip(names, keys)]), "lines")
-    distinct = stored(marked.groupBy("h1", "h2", *names).agg(
+        "doc_id", "text_hash", "line_no", (size >= min_chars).alias("near"), *_hashes(line), *[k.alias(n) for n, k in zip(names, keys)]), "lines")
+    distinct = stored(marked.groupBy("h1", "h2", "near", *names).agg(
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")), "distinct-lines")
-    links, texts = _links(distinct, documents, max_edits, min_chars, hot)
+    links, texts = _links(distinct.where("near"), documents, max_edits, min_chars, hot)
     parts = connected_components(links).join(texts.select(F.col("id").alias("node"), "h1", "h2"), "node").select("h1", "h2", "component")
     joined = distinct.join(parts, ["h1", "h2"]).select("h1", "h2", "first", "component")
     merged = joined.join(joined.groupBy("component").agg(F.min("first").alias("head")), "component").select("h1", "h2", "head")
