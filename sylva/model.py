@@ -158,6 +158,16 @@ class Node:
         return self.put(path, [])
 
 
+def has_type(node: Node | str, *types: str) -> bool:
+    """Whether a node is of one of the types, of any at all where none is given; a leaf has no type."""
+    return isinstance(node, Node) and (node.type in types if types else node.type is not None)
+
+
+def is_part_of(part: Node, whole: Node) -> bool:
+    """Whether ``part`` is a node of ``whole``, told by oid, the root aside."""
+    return any(path and n.oid == part.oid for path, n in whole.walk())
+
+
 def merge(a: Node, b: Node) -> Node:
     """One ROOT with the children of both trees; roots labelled ROOT are unwrapped."""
     kids = [c for t in (a, b) for c in (t.children if t.label == "ROOT" else (t,))]

@@ -55,3 +55,11 @@ def as_table(spark, metrics: dict[str, float | None]) -> DataFrame:
 def inspection(nodes: DataFrame) -> DataFrame:
     """What an inspection shows: one row of totals, and the tallest tree's id."""
     return forest.inspect(nodes).join(forest.tallest(nodes).select(F.col("tree_id").alias("tallest_tree")))
+
+
+def log(metrics: dict[str, float | None], record, step: int | None = None) -> int:
+    """Hand the metrics that have a value to ``record(name, value, step)`` of a tracking tool; their number."""
+    known = {k: float(v) for k, v in metrics.items() if v is not None}
+    for name, value in sorted(known.items()):
+        record(name, value, step)
+    return len(known)

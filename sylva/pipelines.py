@@ -184,7 +184,7 @@ def main(arguments: list[str] | None = None) -> None:
             nodes = load_graph(spark.read.parquet(a.vertices), spark.read.parquet(a.edges))
         elif a.task == "load-corpus":
             parse = imported(a.parser)
-            nodes = load_corpus(spark, a.path, lambda: parse, a.language, a.cache)
+            nodes = load_corpus(spark, a.path, lambda: parse, a.language, a.cache, text.DEFAULT_ENTITY_NAMES, text.DEFAULT_EXCLUDED_ENTITIES)
         else:
             nodes = generate(spark)
         nodes.write.mode("overwrite").parquet(a.out)

@@ -95,6 +95,17 @@ def rename_and_exclude(rows: DataFrame, mapping: dict[str, str], exclude: set[st
     return kept.withColumn("name", name)
 
 
+# What the loader of clinical corpora leaves out and renames unless told otherwise.
+DEFAULT_EXCLUDED_ENTITIES = frozenset({"TIME", "MOMENT", "DUREE", "DURATION", "DATE", "OTHER_ENTITY", "OTHER_EVENT", "COREFERENCE"})
+DEFAULT_EXCLUDED_RELATIONS = frozenset({"TEMPORALITE", "CAUSE-CONSEQUENCE"})
+DEFAULT_ENTITY_NAMES = {
+    "FREQ": "FREQUENCY", "FREQUENCE": "FREQUENCY", "SIGN_SYMPTOM": "SOSY", "VALEUR": "VALUE", "HEIGHT": "VALUE", "WEIGHT": "VALUE",
+    "MASS": "VALUE", "QUANTITATIVE_CONCEPT": "VALUE", "QUALITATIVE_CONCEPT": "VALUE", "DISTANCE": "VALUE", "VOLUME": "VALUE",
+    "AREA": "VALUE", "LAB_VALUE": "VALUE", "TRAITEMENT": "THERAPEUTIC_PROCEDURE", "MEDICATION": "THERAPEUTIC_PROCEDURE", "DOSE": "DOSAGE",
+    "OUTCOME": "SOSY", "EXAMEN": "DIAGNOSTIC_PROCEDURE", "PATHOLOGIE": "DISEASE_DISORDER", "MODE": "ADMINISTRATION",
+}
+
+
 # --- parsing ------------------------------------------------------------------------------------------------------------
 
 Parser = Callable[[str], Node]

@@ -81,3 +81,18 @@ def test_rows_round_trip(spark):
     nodes = model.trees_to_nodes(frame)
     back = {r["tree_id"]: from_json(r["tree"]) for r in model.nodes_to_trees(nodes.repartition(3)).collect()}
     assert {i: to_bracket(t) for i, t in back.items()} == {str(i): t for i, t in enumerate(texts)}
+
+
+def test_edits_by_place_and_relations_between_nodes():
+    from sylva.model import has_type, is_part_of
+
+    t = from_bracket("(log (ENT::day 3) (GROUP::ship (ENT::name Ann) (ENT::flag de nl)) word)")
+    assert [t.leaf_position(k) for k in range(5)] == [(0, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1), (2,)]
+    with pytest.raises(IndexError):
+        t.leaf_position(5)
+    rest, gone = t.pop(1)
+    assert gone.label == "GROUP::ship" and to_bracket(rest) == "(log (ENT::day 3) word)"
+    assert to_bracket(rest.insert(1, "new").extend("last")) == "(log (ENT::day 3) new word last)"
+    assert t.part(1) == t.children[1:] and t.clear().children == ()
+    assert has_type(gone, "GROUP") and not has_type(gone, "ENT") and has_type(gone) and not has_type("word") and not has_type(t)
+    assert is_part_of(gone, t) and not is_part_of(t, t) and not is_part_of(gone, rest)
