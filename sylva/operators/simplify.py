@@ -43,29 +43,42 @@ def equivalence(members: DataFrame, tau: float, metric: str, decay: float, top:
         {r["cluster"]: r["size"] for r in rows}, tau, metric, decay)
 
 
-def shape_of(tree: Node) -> tuple[str, str, list[str], list[tuple[str, str]]]:
+def shape_of(tree: Node, known: dict[str, tuple[str, str]] | None = None) -> tuple[str, str, list[str], list[tuple[str, str]]]:
     """(id, tree, leaves, (oid, metadata) of its nodes) of a tree's shape: labels and order without values and ids.
 
-    In the shape a leaf is its number, and a node's oid is the shape's id with the node's number.
+    In the shape a leaf is its number, and a node's oid is the shape's id with the node's number. ``known`` holds ids and
+    trees of shapes seen before by their outline.
     """
     leaves: list[str] = []
     nodes: list[tuple[str, str]] = []
+    outline: list[str] = []
 
-    def visit(n: Node | str) -> Node | str:
+    def visit(n: Node | str) -> None:
         if isinstance(n, str):
             leaves.append(n)
-            return str(len(leaves) - 1)
+            outline.append(".")
+            return
         nodes.append((n.oid, json.dumps(n.metadata, sort_keys=True) if n.metadata else ""))
-        own = len(nodes) - 1
-        return Node(n.label, tuple(visit(c) for c in n.children), str(own))
+        outline.append(f"{len(n.label)}:{n.label}(")
+        for c in n.children:
+            visit(c)
+        outline.append(")")
 
-    plain = visit(tree)
-    key = hashlib.sha256(to_json(plain).encode()).hexdigest()[:32]
+    visit(tree)
+    text = "".join(outline)
+    known = {} if known is None else known
+    if text not in known:
+        key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
+        numbers = count(), count()
 
-    def named(n: Node | str) -> Node | str:
-        return n if isinstance(n, str) else Node(n.label, tuple(named(c) for c in n.children), f"{key}:{n.oid}")
+        def named(n: Node | str) -> Node | str:
+            if isinstance(n, str):
+                return str(next(numbers[0]))
+            oid = f"{key}:{next(numbers[1])}"
+            return Node(n.label, tuple(named(c) for c in n.children), oid)
 
-    return key, to_json(named(plain)), leaves, nodes
+        known[text] = key, to_json(named(tree))
+    return *known[text], leaves, nodes
 
 
 def fill_in(shape: Node, key: str, tree_id: str, leaves: list[str], nodes: list[tuple[str, str]]) -> Node:
@@ -93,8 +106,11 @@ def packed(trees: DataFrame) -> DataFrame:
     def run(batches):
         names = ["tree_id", "shape", "tree", "leaves", "nodes"]
         pair = pa.list_(pa.struct([("oid", pa.string()), ("metadata", pa.string())]))
+        known: dict[str, tuple[str, str]] = {}
         for batch in batches:
-            rows = [shape_of(from_json(t)) for t in batch.column("tree").to_pylist()]
+            if len(known) > 10_000:
+                known.clear()
+            rows = [shape_of(from_json(t), known) for t in batch.column("tree").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("tree_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                  pa.array([r[2] for r in rows], pa.list_(pa.string())),

@@ -51,6 +51,15 @@ def forget(*tables: DataFrame | None) -> None:
             place.getFileSystem(conf).delete(place, True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they come in fewer parts, as those of a small file do; else as they are.
+
+    For work in Python, which costs far more per row than moving it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for each node of ``edges(a long, b long)``: columns node, component.
 
@@ -67,6 +76,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "links",
     )
+    if not links.take(1):
+        return edges.sparkSession.createDataFrame([], "node long, component long")
     previous = None
     for _ in range(max_rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
