@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from sylva.llm import nearcopies, simhash
@@ -77,3 +78,55 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
         [(4, "A b  C"), (2, None), (7, "x y"), (7, "z w"), (None, "only")], key=str)
+
+
+def least_of_each(sets):
+    """The smallest place that each set reaches by pairs of a similarity of 0.8 or more: all pairs, compared one by one."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("calm,hot", [(32, 2_000_000), (32, 60_000), (1000, 2_000_000)])
+def test_large_family_loses_no_link(spark, calm, hot):
+    """A family whose texts are mostly below 0.8 and partly above: every link counts, whatever else an item meets."""
+    rng = random.Random(31)
+    base, texts = word_text(rng, 200).split(), []
+    for _ in range(400):
+        own = list(base)
+        for k in rng.sample(range(len(own)), rng.randint(2, 7)):
+            own[k] = f"w{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    wanted = least_of_each([set(nearcopies.shingles(t).tolist()) for t in texts])
+    assert 20 < len(set(wanted)) < 380
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.components(documents(spark, texts), calm, hot).collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
+
+
+def test_shared_counts_and_forest_connects():
+    rng = np.random.default_rng(3)
+    sides = [[np.unique(rng.zipf(1.3, n).astype(np.uint64) % np.uint64(5000)) for n in rng.integers(1, 400, m)] for m in (70, 50)]
+    both = nearcopies.shared(*sides)
+    assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    near = rng.random((60, 60)) < 0.02
+    near |= near.T | np.eye(60, dtype=bool)
+    reach = np.linalg.matrix_power(near.astype(np.int64), 1)
+    for _ in range(6):
+        reach = ((reach @ reach) > 0).astype(np.int64)
+    own = np.eye(60, dtype=np.int64)
+    for a, b in zip(*nearcopies.forest(near)):
+        assert near[a, b]
+        own[a, b] = own[b, a] = 1
+    for _ in range(6):
+        own = ((own @ own) > 0).astype(np.int64)
+    assert own.tolist() == reach.tolist()
