@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sylva.llm import nearcopies, simhash
+from sylva.llm import common, nearcopies, simhash
 from tests.llm.test_llm_small import documents, word_text
 
 
@@ -130,3 +130,24 @@ def test_shared_counts_and_forest_connects():
     for _ in range(6):
         own = ((own @ own) > 0).astype(np.int64)
     assert own.tolist() == reach.tolist()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_components_in_one_task_or_in_rounds(spark, most):
+    rng = random.Random(12)
+    links = [(k, k + 1) for k in range(-40, 0)] + [(2**62 + rng.randrange(90), 2**62 + rng.randrange(90)) for _ in range(60)]
+    links += [(5, 5), (None, 6), (7, None)]
+    rng.shuffle(links)
+    least = {}
+    for a, b in links:
+        if None not in (a, b) and a != b:
+            x, y = least.setdefault(a, a), least.setdefault(b, b)
+            least = {k: min(x, y) if v in (x, y) else v for k, v in least.items()}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"components-{most}", "")
+    found = {r["node"]: r["component"] for r in common.components(frame, most).collect()}
+    spark.sparkContext._jsc.clearJobGroup()
+    assert found == least
+    assert (len(jobs.getJobIdsForGroup(f"components-{most}")) <= 8) == (most > 3)
+    assert common.components(frame.limit(0), most).collect() == []
