@@ -151,3 +151,19 @@ def test_components_in_one_task_or_in_rounds(spark, most):
     assert found == least
     assert (len(jobs.getJobIdsForGroup(f"components-{most}")) <= 8) == (most > 3)
     assert common.components(frame.limit(0), most).collect() == []
+
+
+def test_every_repeated_shingle_has_its_place_in_the_order(spark):
+    """Shingles of a sample that several texts have come after all that one has, however many there are of either."""
+    rng = random.Random(41)
+    common, texts = word_text(rng, 300), []
+    for k in range(64):
+        texts.append(f"{common} {word_text(rng, 200)} {k}")
+    order = nearcopies.frequent(documents(spark, texts))
+    low = np.uint64(nearcopies.PLACES - 1)
+    assert order.dtype == np.uint8 and len(order) == nearcopies.PLACES and (order[nearcopies.shingles(common) & low] > 1).all()
+    for t in texts[:5]:
+        found = nearcopies.shingles(t)
+        assert not np.isin(nearcopies.prefix(found, order), nearcopies.shingles(common)).any()
+    few = nearcopies.frequent(documents(spark, texts + [common.lower()] * 2), most=1)
+    assert np.count_nonzero(few) <= 1
