@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.model import TREE_SCHEMA, Node, from_dict, from_json, to_dict, to_json
+from sylva.model import Node, TREE_SCHEMA, from_dict, from_json, sliced, to_dict, to_json
 
 Model = Callable[[str], str]
 
@@ -116,7 +116,7 @@ def model_rewrite(trees: DataFrame, make_model: Callable[[], Model], prompt: str
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
-        for batch in parts:
+        for batch in sliced(parts, 1024):
             own = [from_json(t) for t in batch.column("tree").to_pylist()]
             for _ in range(refining_steps + 1):
                 sizes = [int(len(to_json(t)) / per_token) + 1 for t in own]
