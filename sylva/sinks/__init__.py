@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions import typed_value
@@ -19,14 +19,29 @@ def key_name(table: str) -> str:
 
 def group_records(nodes: DataFrame, group: str, entities: list[str]) -> DataFrame:
     """One row per oid of a group: oid and its entities; of several the first in the forest counts."""
-    own = nodes.where((F.col("type") == "GROUP") & (F.col("name") == group)).select("tree_id", F.col("pos").alias("g"), "oid")
-    ents = nodes.where("type = 'ENT'").select("tree_id", forest.parent_pos().alias("g"), F.col("pos").alias("e"), "name")
-    words = nodes.where("kind = 'LEAF'").select("tree_id", forest.parent_pos().alias("e"), F.struct("pos", "value").alias("w"))
-    values = own.join(ents, ["tree_id", "g"]).join(words, ["tree_id", "e"]).groupBy("tree_id", "g", "oid", "name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["value"]), " ").alias("v"))
-    rows = values.groupBy("tree_id", "g", "oid").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in entities])
-    first = F.row_number().over(Window.partitionBy("oid").orderBy("tree_id", "g"))
-    return rows.withColumn("__k", first).where("__k = 1").select("oid", *entities)
+    # A group, its entities and their words meet under the group's place, as for vertices: no join.
+    is_group, is_entity, is_word = (F.col("type") == "GROUP") & (F.col("name") == group), F.col("type") == "ENT", F.col("kind") == "LEAF"
+    records = _records(nodes, is_group, is_entity, is_word).where("size(ents) > 0")
+    value = lambda n: F.array_max(F.transform(F.filter("ents", lambda e: e["name"] == n), _words_of))
+    rows = records.select("own.oid", F.struct("tree_id", "g").alias("at"), F.struct(*[value(n).alias(n) for n in entities]).alias("r"))
+    return rows.groupBy("oid").agg(F.min_by("r", "at").alias("r")).select("oid", *[F.col("r")[n].alias(n) for n in entities])
+
+
+def _words_of(e: Column) -> Column:
+    """The words of an entity of a record of :func:`_records`; null where it has none."""
+    own = F.filter("words", lambda w: F.slice(w["pos"], F.lit(1), F.size(w["pos"]) - 1) == e["pos"])
+    return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda w: w["value"]), " "))
+
+
+def _records(nodes: DataFrame, is_group: Column, is_entity: Column, is_word: Column) -> DataFrame:
+    """tree_id, place g, own(oid, name), ents(pos, name) and words(pos, value) of each group."""
+    up = lambda k: F.slice("pos", F.lit(1), F.greatest(F.size("pos") - k, F.lit(0)))
+    place = F.when(is_group, F.col("pos")).when(is_entity, up(1)).when(is_word & (F.size("pos") >= 2), up(2))
+    return nodes.where(is_group | is_entity | is_word).withColumn("g", place).where("g IS NOT NULL").groupBy("tree_id", "g").agg(
+        F.max(F.when(is_group, F.struct("oid", "name"))).alias("own"),
+        F.array_sort(F.collect_list(F.when(is_entity, F.struct("pos", "name")))).alias("ents"),
+        F.array_sort(F.collect_list(F.when(is_word, F.struct("pos", "value")))).alias("words"),
+    ).where("own IS NOT NULL")
 
 
 def relation_pairs(nodes: DataFrame) -> DataFrame:
@@ -65,20 +80,11 @@ def export_vertices(nodes: DataFrame, collapsed: frozenset[str] = frozenset()) -
     records of one oid the first in the forest, as in tables. A group, its entities and their words meet under the
     group's place, so node rows are shuffled once; what is gathered there is one record.
     """
-    up = lambda k: F.slice("pos", F.lit(1), F.greatest(F.size("pos") - k, F.lit(0)))
-    is_group, is_entity, is_word = F.col("type") == "GROUP", F.col("type") == "ENT", F.col("kind") == "LEAF"
-    place = F.when(is_group, F.col("pos")).when(is_entity, up(1)).when(is_word & (F.size("pos") >= 2), up(2))
-    records = nodes.where(is_group | is_entity | is_word).withColumn("g", place).where("g IS NOT NULL").groupBy("tree_id", "g").agg(
-        F.max(F.when(is_group, F.struct("oid", "name"))).alias("own"),
-        F.array_sort(F.collect_list(F.when(is_entity, F.struct("pos", "name")))).alias("ents"),
-        F.array_sort(F.collect_list(F.when(is_word, F.struct("pos", "value")))).alias("words"),
-    ).where("own IS NOT NULL")
+    records = _records(nodes, F.col("type") == "GROUP", F.col("type") == "ENT", F.col("kind") == "LEAF")
     if collapsed:
         records = records.where(~F.col("own.name").isin(*collapsed))
-    words_of = lambda e: F.array_join(F.transform(F.filter(
-        "words", lambda w: F.slice(w["pos"], F.lit(1), F.size(w["pos"]) - 1) == e["pos"]), lambda w: w["value"]), " ")
     keys = F.array_distinct(F.transform("ents", lambda e: e["name"]))
-    texts = F.transform(keys, lambda k: F.struct(k.alias("key"), words_of(F.filter("ents", lambda e: e["name"] == k)[0]).alias("text")))
+    texts = F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(_words_of(F.filter("ents", lambda e: e["name"] == k)[0]), F.lit("")).alias("text")))
     entries = F.transform(F.filter(texts, lambda t: t["text"] != ""), lambda t: F.struct(
         t["key"].alias("key"), F.struct(t["text"].alias("text"), typed_value(t["text"]).alias("kind")).alias("value")))
     props = records.select("own.oid", "own.name", F.struct("tree_id", "g").alias("at"), F.map_from_entries(entries).alias("props"))
