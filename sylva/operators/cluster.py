@@ -17,16 +17,16 @@ from sylva.shared import connected_components, stored
 
 def candidates(nodes: DataFrame, max_height: int = 5, depth: int = 5) -> DataFrame:
     """Subtrees that are compared, with their context: height up to ``max_height``, no entity, no repeated entity."""
-    measures = forest.subtree_measures(nodes)
-    inner = nodes.where("kind = 'NODE'").join(measures, ["tree_id", "pos"])
+    inner = forest.subtree_measures(nodes, ("kind", "oid", "type", "name", "label")).where("kind = 'NODE'")
     entry = F.struct("oid", "label", F.col("type").isNotNull().alias("typed"), F.col("entity_labels").alias("labels"))
     level = inner.select("tree_id", F.col("pos").alias("anc"), entry.alias("entry"))
     own = inner.where((F.coalesce(F.col("type"), F.lit("")) != "ENT") & (F.col("height") <= max_height)
                       & ~F.col("has_duplicate_entity") & (F.col("n_entities") > 0))
-    chain = forest.with_ancestors(own.select("tree_id", "pos")).where(F.size("pos") - F.size("anc") < depth).join(level, ["tree_id", "anc"])
+    # Merge joins: by the size of the file that trees come from, the planner takes tables of all their nodes for small ones.
+    chain = forest.with_ancestors(own.select("tree_id", "pos")).where(F.size("pos") - F.size("anc") < depth).join(level.hint("merge"), ["tree_id", "anc"])
     contexts = chain.groupBy("tree_id", "pos").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(F.size("anc").alias("n"), "entry")), asc=False), lambda x: x["entry"]).alias("ctx"))
-    return own.select("tree_id", "pos", "oid", "type", "name", "label", "height", "n_entities", "entity_labels").join(contexts, ["tree_id", "pos"])
+    return own.select("tree_id", "pos", "oid", "type", "name", "label", "height", "n_entities", "entity_labels").join(contexts.hint("merge"), ["tree_id", "pos"])
 
 
 def with_signature(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.model import TREE_SCHEMA, Node, from_json, map_trees, reduce_all, to_json, trees_to_nodes
+from sylva.model import TREE_SCHEMA, Node, from_json, map_trees, reduce_all, sliced, to_json, trees_to_nodes
 from sylva.operators import cluster, rewrite
 from sylva.shared import stored
 
@@ -107,7 +107,7 @@ def packed(trees: DataFrame) -> DataFrame:
         names = ["tree_id", "shape", "tree", "leaves", "nodes"]
         pair = pa.list_(pa.struct([("oid", pa.string()), ("metadata", pa.string())]))
         known: dict[str, tuple[str, str]] = {}
-        for batch in batches:
+        for batch in sliced(batches, 256):
             if len(known) > 10_000:
                 known.clear()
             rows = [shape_of(from_json(t), known) for t in batch.column("tree").to_pylist()]
@@ -124,12 +124,41 @@ def shapes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shape").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("n"), F.first("tree").alias("tree"))
 
 
+def shape_counts(trees: DataFrame) -> DataFrame:
+    """The same from ``trees(tree_id, tree)``: each task counts its shapes, so no tree is sorted or shuffled."""
+
+    def run(batches):
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*((k, least, n, tree) for k, (least, n, tree) in held.items()), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())],
+                names=["shape", "tree_id", "n", "tree"])
+
+        held: dict[str, tuple[str, int, str]] = {}
+        known: dict[str, tuple[str, str]] = {}
+        for batch in sliced(batches):
+            for tree_id, t in zip(batch.column("tree_id").to_pylist(), batch.column("tree").to_pylist(), strict=True):
+                key, tree, _, _ = shape_of(from_json(t), known)
+                least, n, _ = held.get(key, (tree_id, 0, tree))
+                held[key] = min(least, tree_id), n + 1, tree
+            if len(held) > 10_000:
+                yield made()
+                held.clear()
+                known.clear()
+        yield made()
+
+    parts = trees.select("tree_id", "tree").where("tree IS NOT NULL").mapInArrow(run, "shape string, tree_id string, n long, tree string")
+    return parts.groupBy("shape").agg(F.min("tree_id").alias("tree_id"), F.sum("n").alias("n"), F.first("tree").alias("tree"))
+
+
 def unpacked(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """``rows`` of :func:`packed` with the trees that ``shapes(shape, new)`` have become; narrow after the join."""
 
     def run(batches):
-        for batch in batches:
-            known: dict[str, Node] = {}
+        known: dict[str, Node] = {}
+        for batch in sliced(batches, 256):
+            if len(known) > 10_000:
+                known.clear()
             out = []
             columns = [batch.column(c).to_pylist() for c in ("tree_id", "shape", "new", "leaves", "nodes")]
             for tree_id, key, new, leaves, nodes in zip(*columns, strict=True):
